@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import slices
-from .tokens import _room
+from .tokens import Numbers, _room, byte_characters
 
 #: The pre-tokenization pattern of byte-level BPE files with ``use_regex`` (fixed values of that format).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -36,13 +36,6 @@ _RUN_THEN_SPACE = re.compile(r"\s ")
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\u024f\u2010-\u2027]*\Z")
 
 
-def byte_characters() -> dict[str, int]:
-    """The characters that byte-level BPE files use for bytes: printable ones for themselves, the others from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class PrefixCounts:
     """Counts at every prefix of chunks, for one tokenizer file."""
 
@@ -82,7 +75,7 @@ class PrefixCounts:
         return {k: sorted(v, reverse=True) for k, v in out.items()}
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
         self.starts, self.lengths, self.full = (np.zeros(1 << 14, dtype=np.int64) for _ in range(3))
 
@@ -164,15 +157,14 @@ class PrefixCounts:
         """Numbers of the chunks in the tables ``full``, ``starts`` and ``lengths``. A first chunk is written "\\0" + chunk."""
         if len(self.number) > MAX_CHUNKS or self.used > MAX_COUNTS:
             self._clear()
-        number = self.number
-        for chunk in [c for c in dict.fromkeys(chunks) if c not in number]:
+        which, new = self.number.of(chunks)
+        for n, chunk in enumerate(new, len(self.number) - len(new)):
             counts = self.chunk_counts(chunk[1:] if chunk[:1] == "\0" else " " + chunk)
-            n = number[chunk] = len(number)
             self.flat, self.starts, self.lengths, self.full = _room(self.flat, self.used + len(counts)), _room(self.starts, n + 1), _room(self.lengths, n + 1), _room(self.full, n + 1)
             self.flat[self.used : self.used + len(counts)] = counts
             self.starts[n], self.lengths[n], self.full[n] = self.used, len(counts), counts[-1] if counts else 0
             self.used += len(counts)
-        return np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks))
+        return which
 
     def index(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text: its chunks, and the token count before each and at the end."""

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import slices
+from .tokens import Numbers
 
 WINDOW, STRIDE = 48, 32
 TRAIN_PER_CLASS = 2000
@@ -182,19 +183,17 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Numbers()
         self.g = self.net.project(self.net.rows([b""])[0])  # place 0 pads
 
     def places(self, words: list[bytes]) -> np.ndarray:
         if len(self.number) > MAX_WORDS:
             self._clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        which, new = self.number.of(words)
         if new:
             more = self.net.project(self.net.rows(new)[0])
             self.g = {d: np.concatenate([self.g[d], more[d]]) for d in "fb"}
-            first = len(self.number) + 1
-            self.number.update(zip(new, range(first, first + len(new)), strict=True))
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        return which + 1
 
     def window_logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
         """Logits of all windows of the texts in turn, the text of each, and the words."""
