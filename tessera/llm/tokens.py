@@ -21,7 +21,7 @@ import regex
 
 MAX_CHUNKS = 500_000
 #: Characters whose lower case and composition don't depend on their neighbours, up to U+024F.
-_SHORT_WAY = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+_LATIN = "[\x21-\x7e\xa1-\u012f\u0131-\u024f]"
 #: The split pattern of the lower-casing BPE files with word ends (fixed values of that format).
 _PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -41,7 +41,8 @@ class WordEnds:
 
         to_byte, end = byte_characters(), "</w>"
         self.pre_tokens = regex.compile(_PRE_TOKENS)
-        self.special = tuple(t["content"][0] for t in file["added_tokens"])
+        opening = "".join({t["content"][0] for t in file["added_tokens"]})
+        self.fits = re.compile(f"(?:(?![{re.escape(opening)}]){_LATIN})+" if opening else f"{_LATIN}+").fullmatch
         names = {t["content"] for t in file["added_tokens"]}
         ranks = {}
         for token, n in file["model"]["vocab"].items():
@@ -59,7 +60,9 @@ class WordEnds:
         return file["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": _PRE_TOKENS} and split.get("behavior") == "Removed"
 
     def __call__(self, word: str) -> list[int] | None:
-        if not _SHORT_WAY.fullmatch(word) or any(c in word for c in self.special):
+        if word.isascii() and word.isalpha():
+            return self.core.encode_single_piece(word.lower().encode() + b"\xff")
+        if not self.fits(word):
             return None
         word = word.lower()
         if word.isalpha():
@@ -115,14 +118,14 @@ class ChunkIds:
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``chunks`` in turn, and how many each chunk has."""
         if len(self.number) > MAX_CHUNKS:
             self._clear()
         which, new = self.number.of(chunks)
         known = len(self.number) - len(new)
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+            part = [c.decode() for c in new[at : at + 4096]]
             ids = list(map(self.short_way, part))
             rest = [i for i, x in enumerate(ids) if x is None]
             for i, e in zip(rest, self.tokenizer.encode_batch_fast([part[i] for i in rest], add_special_tokens=False), strict=True):
@@ -162,6 +165,6 @@ def chunk_ids(path: str) -> ChunkIds:
     return _LOADED[path]
 
 
-def spaced_words(text: str) -> list[str]:
-    """Chunks of tokenizers that drop white space and never match across it: runs without ASCII white space."""
-    return [w.decode() for w in text.encode("utf-8", "replace").split()]
+def spaced_words(text: str) -> list[bytes]:
+    """Chunks of tokenizers that drop white space and never match across it: runs without ASCII white space, in UTF-8."""
+    return text.encode("utf-8", "replace").split()
