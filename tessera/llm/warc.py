@@ -3,7 +3,7 @@
 Writing: one HTTP response per page with chunked transfer framing. A block of more than ``SEGMENT`` bytes becomes a first
 record and continuation records (WARC-Segment-Number, WARC-Segment-Origin-ID, on the last WARC-Segment-Total-Length). Of
 pages with equal payloads of at least ``REVISIT_BYTES`` the one with the least page_id is a response, the others are
-revisit records that name it. Archives are plain WARC/1.1 files written by Spark's text writer, whose line separator is
+revisit records that name it. Archives are gzipped WARC/1.1 files written by Spark's text writer, whose line separator is
 the record separator; records are cut between characters so that each is valid UTF-8.
 
 Reading: records are found by Content-Length. Segments are grouped by origin identifier, ordered by segment number, and
@@ -17,6 +17,7 @@ that carry the least page_id are responses; an empty table gives an empty result
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -129,7 +130,7 @@ def write(pages: DataFrame, at: str, segment: int = SEGMENT) -> None:
     kind = F.when(F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id")), "response").otherwise("revisit")
     marked = rows.join(firsts, ["digest", "salt"], "left").withColumn("record_type", kind)
     lines = marked.select("page_id", "row", "url", "payload", "digest", "first_id", "record_type").mapInArrow(_write_rows(segment), "value string")
-    lines.write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(at)
+    lines.write.option("lineSep", _END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(at)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -154,7 +155,8 @@ def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
             rows, held = [], 0
-            for head, block in parse(data.as_py()):
+            raw = data.as_py()
+            for head, block in parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                 bare = lambda name: head[name].strip("<>") if name in head else None  # noqa: B023, E731
                 number = head.get("warc-segment-number")
                 rows.append((bare("warc-record-id"), bare("warc-segment-origin-id") or (bare("warc-record-id") if number else None), int(number or 0), int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, head.get("warc-type"), bare("warc-refers-to"), head.get("warc-payload-digest", "").removeprefix("sha256:") or None, block))
