@@ -126,10 +126,9 @@ def mix(docs: DataFrame) -> DataFrame:
     the words of a prefix are joined by single spaces. The text travels through one shuffle. n_chars follows the text.
     """
     size, digest, chunk, source_size, target, take = spare(docs, "__size", "__md5", "__chunk", "__source_size", "__target", "__take")
-    sizes = scratch.store(docs.select("doc_id", "source", word_count(docs["text"]).alias("size")), "mix-sizes")
-    by_source = scratch.store(targets(sizes), "mix-sources")
+    by_source = scratch.store(targets(docs.select("source", word_count(docs["text"]).alias("size"))), "mix-sources")
     md5, number = order_hash(docs["doc_id"])
-    keyed = docs.withColumn(size, word_count(docs["text"])).withColumn(digest, md5).withColumn(chunk, spread(number, sizes.count()))
+    keyed = docs.withColumn(size, word_count(docs["text"])).withColumn(digest, md5).withColumn(chunk, spread(number, docs.count()))
     (start,) = spare(keyed, "__start")
     placed = running(keyed, ["source"], chunk, [digest, "doc_id", size], {start: (F.col(size), "long")})
     s = by_source.select("source", F.col("source_size").alias(source_size), F.floor("target").cast("long").alias(target))
