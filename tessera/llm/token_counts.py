@@ -13,10 +13,12 @@ this machine's and the tokenizer's Unicode tables may class differently, takes i
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from .tokens import Numbers, _room, byte_characters
 #: The pre-tokenization pattern of byte-level BPE files with ``use_regex`` (fixed values of that format).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
-MAX_CHUNKS, MAX_COUNTS = 300_000, 8_000_000
+MAX_CHUNKS, MAX_COUNTS, MAX_PREFIXES = 500_000, 8_000_000, 500_000
 _RUN_THEN_SPACE = re.compile(r"\s ")
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\u024f\u2010-\u2027]*\Z")
 
@@ -63,7 +65,7 @@ class PrefixCounts:
         self.suffix_lengths = self._suffix_lengths()
         self.bpe = tiktoken.Encoding("prefix-counts", pat_str=r"[\s\S]+", mergeable_ranks=self.rank, special_tokens={})._core_bpe
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[bytes, list[int]] = {}
+        self.prefixes: dict[bytes, tuple[list[int], list[int]]] = {}
         self._clear()
 
     def _suffix_lengths(self) -> dict[bytes, list[int]]:
@@ -81,28 +83,51 @@ class PrefixCounts:
 
     def _fit(self, left: int, right: int) -> bool:
         """Whether BPE leaves this pair of tokens as it is."""
-        key = (left, right)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            known = self.fits[key] = self.bpe.encode_single_piece(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        if len(self.fits) > 1_000_000:
+            self.fits.clear()
+        known = self.fits[(left, right)] = self.bpe.encode_single_piece(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def piece_counts(self, piece: bytes) -> list[int]:
-        """Token counts of ``piece[:i]`` for i from 0 to its length, each prefix being one BPE piece."""
-        count, last = [0] * (len(piece) + 1), [-1] * (len(piece) + 1)
-        rank, fits, lengths = self.rank, self._fit, self.suffix_lengths
-        for i in range(1, len(piece) + 1):
+        """Token counts of ``piece[:i]`` for i from 0 to its length, each prefix being one BPE piece.
+
+        Starts from the longest prefix another piece has gone through before.
+        """
+        known, n = self.prefixes, len(piece)
+        if len(known) > MAX_PREFIXES:
+            known.clear()
+        done = n
+        while done and (state := known.get(piece[:done])) is None:
+            done -= 1
+        if done:
+            count, last = state[0][: done + 1] + [0] * (n - done), state[1][: done + 1] + [-1] * (n - done)
+        else:
+            count, last = [0] * (n + 1), [-1] * (n + 1)
+        rank, fits, lengths = self.rank, self.fits, self.suffix_lengths
+        for i in range(done + 1, n + 1):
             for size in (*lengths.get(piece[i - 2 : i] if i > 1 else b"", ()), 1):
-                token = rank.get(piece[i - size : i]) if size <= i else None
-                if token is not None and (size == i or fits(last[i - size], token)):
-                    count[i], last[i] = count[i - size] + 1, token
-                    break
+                if size > i or (token := rank.get(piece[i - size : i])) is None:
+                    continue
+                if size != i:
+                    fit = fits.get((last[i - size], token))
+                    if fit is None:
+                        fit = self._fit(last[i - size], token)
+                    if not fit:
+                        continue
+                count[i], last[i] = count[i - size] + 1, token
+                break
+            if i <= 24:
+                known[piece[:i]] = (count, last)
         return count
 
     def chunk_counts(self, chunk: str) -> list[int]:
         """Token counts of ``chunk[:k]`` for k from 1 to its length in characters."""
+        # The common case, a word of letters, perhaps with one mark after it: one or two pieces.
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        mark = word[-1:] in (".", ",")
+        if (word[:-1] if mark else word).isalpha() and _PLAIN.match(chunk):
+            counts = self._characters(chunk[:-1] if mark else chunk)
+            return [*counts, counts[-1] + 1] if mark else counts
         if any(s in chunk for s in self.special) or not _PLAIN.match(chunk):
             return self._by_library(chunk)
         out: list[int] = []
@@ -136,19 +161,10 @@ class PrefixCounts:
     def _characters(self, piece: str) -> list[int]:
         """``piece_counts`` at the ends of characters."""
         raw = piece.encode()
-        if not raw:
-            return []
-        counts = self.pieces.get(raw)
-        if counts is None:
-            counts = self.piece_counts(raw)
-            if len(raw) == len(piece):
-                counts = counts[1:]
-            else:
-                ends = np.cumsum([len(c.encode()) for c in piece])
-                counts = [counts[e] for e in ends]
-            if len(raw) <= 4:
-                self.pieces[raw] = counts
-        return counts
+        counts = self.piece_counts(raw)
+        if len(raw) == len(piece):
+            return counts[1:]
+        return [counts[k] for k in range(1, len(raw)) if raw[k] & 0xC0 != 0x80] + counts[-1:]
 
     def _by_library(self, chunk: str) -> list[int]:
         return [len(e.ids) for at in range(1, len(chunk) + 1, 256) for e in self.library.encode_batch_fast([chunk[:k] for k in range(at, min(at + 256, len(chunk) + 1))], add_special_tokens=False)]
@@ -158,12 +174,22 @@ class PrefixCounts:
         if len(self.number) > MAX_CHUNKS or self.used > MAX_COUNTS:
             self._clear()
         which, new = self.number.of(chunks)
-        for n, chunk in enumerate(new, len(self.number) - len(new)):
-            counts = self.chunk_counts(chunk[1:] if chunk[:1] == "\0" else " " + chunk)
-            self.flat, self.starts, self.lengths, self.full = _room(self.flat, self.used + len(counts)), _room(self.starts, n + 1), _room(self.lengths, n + 1), _room(self.full, n + 1)
-            self.flat[self.used : self.used + len(counts)] = counts
-            self.starts[n], self.lengths[n], self.full[n] = self.used, len(counts), counts[-1] if counts else 0
-            self.used += len(counts)
+        collecting = gc.isenabled()
+        gc.disable()  # many small lists and no cycles: the collector would go through them again and again
+        try:
+            counts = [self.chunk_counts(c[1:] if c[:1] == "\0" else " " + c) for c in new]
+        finally:
+            if collecting:
+                gc.enable()
+        sizes, first = np.fromiter(map(len, counts), np.int64, len(counts)), len(self.number) - len(new)
+        total = int(sizes.sum())
+        self.flat = _room(self.flat, self.used + total)
+        self.starts, self.lengths, self.full = (_room(x, len(self.number)) for x in (self.starts, self.lengths, self.full))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(counts), np.int32, total)
+        self.starts[first : len(self.number)] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[first : len(self.number)] = sizes
+        self.full[first : len(self.number)] = [c[-1] if c else 0 for c in counts]
+        self.used += total
         return which
 
     def index(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
