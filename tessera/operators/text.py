@@ -7,8 +7,10 @@ import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of BM25.
 K1, B = 1.2, 0.75
@@ -19,9 +21,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-@F.udf("array<string>")
-def _exact(text: str | None) -> list[str]:
-    return query_words(text or "")
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _exact(texts: pa.Array) -> pa.Array:
+    return pa.array([query_words(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
 def query_words(text: str) -> list[str]:

@@ -1,4 +1,261 @@
-"""Queries of the engine's own operators."""
+"""Queries over the engine's operators, and SQL that says the same."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+import re
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import retrieval
+from .engine import Engine
+from .operators import vectors
+from .operators.text import TextIndex
+from .sources.delimited import read_delimited
+
+TABLES = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None, "events": "event_id", "documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": None, "embeddings": "vec_id"}
+CENTER = (-12.06, -77.03)
+LSHAPE = [(-12.20, -77.15), (-12.20, -76.85), (-12.10, -76.85), (-12.10, -77.00), (-11.95, -77.00), (-11.95, -77.15)]
+WORDS = "the thing of ention"
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all machines share, as the cluster names it; a local one only where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tessera"
+    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def engine(spark: SparkSession, sf_dir: str, folder: str | None = None, text: str | None = None) -> Engine:
+    """An engine with the test tables (those that ``text`` names), and ``places``: points derived from customer keys."""
+    out = Engine(spark, folder)
+    for name, key in TABLES.items():
+        if text is None or re.search(rf"\b{name}\b", text):
+            out.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), key)
+    if text is not None and "places" not in text:
+        return out
+    if "customer" not in out.registered:
+        out.register("customer", spark.read.parquet(f"{sf_dir}/customer.parquet"), TABLES["customer"])
+    c = out.registered["customer"].frame
+    key = F.col("c_custkey")
+    places = c.select(key.alias("id"), F.col("c_name").alias("nombre"), (F.lit(-12.30) + (key % 501).cast("double") * 0.000998).alias("latitud"), (F.lit(-77.25) + (key * 37 % 499).cast("double") * 0.001).alias("longitud"))
+    out.register("places", places, "id")
+    return out
+
+
+def _sql(name: str, text: str, oracle: str, strategy: str = "AUTO") -> None:
+    QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, text=text).sql(text, strategy=strategy).frame
+    SQL[name] = oracle
+
+
+def _query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+_sql("sql_join_group", "SELECT n_name, COUNT(*) AS total FROM customer AS c JOIN nation AS n ON c.c_nationkey = n.n_nationkey GROUP BY n_name ORDER BY n_name", "SELECT n_name, count(*) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+_sql("sql_star", "SELECT * FROM nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+_sql("sql_qualified_star", "SELECT r.*, n.n_name FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey", "SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey")
+_sql("sql_equality", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 42", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 42")
+_sql("sql_range", "SELECT o_orderkey AS k FROM orders WHERE o_orderkey >= 100 AND 200 > o_orderkey ORDER BY k", "SELECT o_orderkey AS k FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 200")
+_sql("sql_boolean", "SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'BUILDING' OR c_acctbal <= 5000.0) AND c_nationkey <> 3", "SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'BUILDING' OR c_acctbal <= 5000.0) AND c_nationkey <> 3")
+_sql("sql_columns_compared", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey < l_suppkey AND l_discount != l_tax", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE l_partkey < l_suppkey AND l_discount <> l_tax")
+_sql("sql_literals", "SELECT r_name FROM region WHERE 'it''s' <> 'its' AND -1 < +2 AND TRUE = TRUE", "SELECT r_name FROM region")
+_sql("sql_group_all_aggregates", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, COUNT(l_tax), SUM(l_partkey), MIN(l_quantity), MAX(l_shipmode_free), AVG(l_linenumber) FROM lineitem GROUP BY l_returnflag, l_linestatus".replace("MAX(l_shipmode_free)", "MAX(l_extendedprice)"), "SELECT l_returnflag, l_linestatus, count(*) AS n, count(l_tax) AS count_l_tax, CAST(sum(l_partkey) AS BIGINT) AS sum_l_partkey, min(l_quantity) AS min_l_quantity, max(l_extendedprice) AS max_l_extendedprice, avg(l_linenumber) AS avg_l_linenumber FROM lineitem GROUP BY ALL")
+_sql("sql_global_aggregate", "SELECT COUNT(*), MIN(o_orderstatus), MAX(o_totalprice), AVG(o_custkey) FROM orders", "SELECT count(*) AS count, min(o_orderstatus) AS min_o_orderstatus, max(o_totalprice) AS max_o_totalprice, avg(o_custkey) AS avg_o_custkey FROM orders")
+_sql("sql_empty_aggregate", "SELECT COUNT(*), SUM(o_custkey), SUM(o_totalprice) AS t FROM orders WHERE o_orderkey < 0", "SELECT count(*) AS count, CAST(0 AS BIGINT) AS sum_o_custkey, CAST(0 AS DOUBLE) AS t FROM orders WHERE o_orderkey < 0")
+_sql("sql_grouped_order", "SELECT o_orderpriority AS p, COUNT(*) AS n FROM orders WHERE o_totalprice > 1000.0 GROUP BY o_orderpriority ORDER BY n DESC, p LIMIT 3", "SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY n DESC, p LIMIT 3")
+_sql("sql_order_limit", "SELECT p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25", "SELECT p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
+_sql("sql_order_stable", "SELECT p_partkey, p_size FROM part ORDER BY p_size, p_size DESC LIMIT 40", "SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part ORDER BY p_size, p_partkey LIMIT 40")
+_sql("sql_join_residual", "SELECT o.o_orderkey, c.c_name FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal WHERE c.c_acctbal > 0.0", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey AND o_totalprice > c_acctbal WHERE c_acctbal > 0")
+_sql("sql_join_two_keys", "SELECT a.l_orderkey, a.l_linenumber AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber", "SELECT a.l_orderkey, CAST(a.l_linenumber AS BIGINT) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber".replace("a.l_orderkey,", 'a.l_orderkey AS "a.l_orderkey",', 1))
+_sql("sql_self_join", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+for _strategy in ("GRACE_HASH", "HASH", "MERGE", "NESTED_LOOP"):
+    _sql(f"sql_join_{_strategy.lower()}", "SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey", "SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey", _strategy)
+
+_PLACES = "SELECT c_custkey AS id, c_name AS nombre, CAST(-12.30 AS DOUBLE) + CAST(c_custkey % 501 AS DOUBLE) * CAST(0.000998 AS DOUBLE) AS latitud, CAST(-77.25 AS DOUBLE) + CAST(c_custkey * 37 % 499 AS DOUBLE) * CAST(0.001 AS DOUBLE) AS longitud FROM customer"
+_LAT, _LON = (f"CAST({x} AS DOUBLE)" for x in CENTER)
+_HAVERSINE = f"2 * CAST(6371008.771415059 AS DOUBLE) * asin(sqrt(least(1, greatest(0, pow(sin((radians(latitud) - radians({_LAT})) / 2), 2) + cos(radians(latitud)) * cos(radians({_LAT})) * pow(sin((radians(longitud) - radians({_LON})) / 2), 2)))))"
+_PLANE = f"sqrt(pow(CAST(6371008.771415059 AS DOUBLE) * cos(radians(CAST(-12.0464 AS DOUBLE))) * radians(longitud - {_LON}), 2) + pow(CAST(6371008.771415059 AS DOUBLE) * radians(latitud - {_LAT}), 2))"
+_POINT = f"POINT({CENTER[0]}, {CENTER[1]})"
+
+
+def _spatial(name: str, text: str, oracle: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = engine(spark, sf_dir, text=text).sql(text).frame
+        return df.withColumn("distancia", F.round("distancia", 4)) if "distancia" in df.columns else df
+
+    QUERIES[name], SQL[name] = run, f"WITH places AS ({_PLACES}) {oracle}"
+
+
+_spatial("spatial_radius_haversine", f"SELECT id, DISTANCIA(ubicacion, {_POINT}) FROM places WHERE DISTANCIA(ubicacion, {_POINT}) <= 3000", f"SELECT id, round({_HAVERSINE}, 4) AS distancia FROM places WHERE {_HAVERSINE} <= 3000")
+_spatial("spatial_radius_euclidean", f"SELECT id FROM places WHERE 2500.5 > DISTANCE(ubicacion, {_POINT}, 'euclidean') AND id > 10", f"SELECT id FROM places WHERE {_PLANE} < 2500.5 AND id > 10")
+_spatial("spatial_knn", f"SELECT id, DISTANCIA(ubicacion, {_POINT}) FROM places ORDER BY distancia LIMIT 10", f"SELECT id, round({_HAVERSINE}, 4) AS distancia FROM places ORDER BY {_HAVERSINE}, id LIMIT 10")
+_spatial("spatial_knn_where", f"SELECT id FROM places WHERE id < 700 ORDER BY DISTANCIA(ubicacion, {_POINT}, 'euclidean') LIMIT 7", f"SELECT id FROM places WHERE id < 700 ORDER BY {_PLANE}, id LIMIT 7")
+_spatial("spatial_far", f"SELECT id FROM places WHERE DISTANCIA(ubicacion, {_POINT}) > 20000.0 OR id = 1", f"SELECT id FROM places WHERE {_HAVERSINE} > 20000 OR id = 1")
+
+
+def _edges() -> str:
+    """Crossings of the ray and places on an edge; the edges of the polygon are parallel to the axes."""
+    crossings, on = [], []
+    for (a, b), (c, d) in zip(LSHAPE, [*LSHAPE[1:], LSHAPE[0]], strict=True):
+        if a != c:
+            crossings.append(f"CASE WHEN (latitud < {a}::DOUBLE) <> (latitud < {c}::DOUBLE) AND longitud < {b}::DOUBLE THEN 1 ELSE 0 END")
+        on.append(f"(abs(latitud - {a}::DOUBLE) < 1e-12 AND longitud BETWEEN {min(b, d)}::DOUBLE AND {max(b, d)}::DOUBLE)" if a == c else f"(abs(longitud - {b}::DOUBLE) < 1e-12 AND latitud BETWEEN {min(a, c)}::DOUBLE AND {max(a, c)}::DOUBLE)")
+    return f"({' OR '.join(on)}) OR ({' + '.join(crossings)}) % 2 = 1"
+
+
+@_query(f"WITH places AS ({_PLACES}) SELECT id FROM places WHERE {_edges()}")
+def spatial_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir, text="places").spatial_polygon("places", LSHAPE).select("id")
+
+
+_TOKENS = r"""
+tokens AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+')) AS term FROM documents),
+postings AS (SELECT id, term, count(*) AS tf FROM tokens GROUP BY ALL),
+lexicon AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+lengths AS (SELECT id, count(*) AS length FROM tokens GROUP BY id),
+stats AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tokens) / (SELECT count(*) FROM documents) AS mean)
+"""
+_ASKED = "asked AS (SELECT term, count(*) AS qtf FROM (SELECT unnest(string_split('" + WORDS + "', ' ')) AS term) GROUP BY term)"
+_TFIDF = f"WITH {_TOKENS}, {_ASKED}, w AS (SELECT id, term, (1 + ln(tf)) * (1 + ln((n + 1) / (df + 1))) AS w FROM postings JOIN lexicon USING (term), stats), norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM w GROUP BY id), q AS (SELECT term, (1 + ln(qtf)) * (1 + ln((n + 1) / (df + 1))) AS q FROM asked JOIN lexicon USING (term), stats), scores AS (SELECT id, sum(w * q) / (any_value(norm) * (SELECT sqrt(sum(q * q)) FROM q)) AS score FROM w JOIN q USING (term) JOIN norms USING (id) GROUP BY id)"
+_BM25 = f"WITH {_TOKENS}, {_ASKED}, scores AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM postings JOIN asked USING (term) JOIN lexicon USING (term) JOIN lengths USING (id), stats GROUP BY id)"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> Engine:
+    out = engine(spark, sf_dir, text="documents")
+    out.publish_text("documents", "doc_id", "text", f"{_folder(spark)}/text")
+    return out
+
+
+def _match(model: str, rest: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _documents(spark, sf_dir).sql(f"SELECT doc_id, SCORE() FROM documents WHERE MATCH(text, '{WORDS}') USING {model} {rest}").frame
+        return df.withColumn("score", F.round("score", 6))
+
+    return run
+
+
+QUERIES["text_tf_idf"], SQL["text_tf_idf"] = _match("TF_IDF", ""), f"{_TFIDF} SELECT id AS doc_id, round(score, 6) AS score FROM scores"
+QUERIES["text_bm25"], SQL["text_bm25"] = _match("BM25", ""), f"{_BM25} SELECT id AS doc_id, round(score, 6) AS score FROM scores"
+QUERIES["text_bm25_top"], SQL["text_bm25_top"] = _match("BM25", "ORDER BY score DESC, doc_id LIMIT 10"), f"{_BM25} SELECT id AS doc_id, round(score, 6) AS score FROM scores ORDER BY round(score, 12) DESC, id LIMIT 10"
+QUERIES["text_tf_idf_by_id"], SQL["text_tf_idf_by_id"] = _match("TF_IDF", "ORDER BY doc_id DESC LIMIT 10"), f"{_TFIDF} SELECT id AS doc_id, round(score, 6) AS score FROM scores ORDER BY id DESC LIMIT 10"
+
+
+@_query(f"WITH {_TOKENS} SELECT term, CAST(df AS BIGINT) AS df FROM lexicon")
+def text_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TextIndex.build(engine(spark, sf_dir, text="documents").registered["documents"].frame, "doc_id", "text").lexicon
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rows, [float(x) for x in rows.where("id = 7").first()["vector"]]
+
+
+_SCORES = {"euclidean": "-list_distance({})", "cosine": "list_cosine_similarity({})", "dot": "list_inner_product({})"}
+
+
+def _nearest(metric: str) -> str:
+    score = _SCORES[metric].format("CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])")
+    return f"SELECT e.vec_id AS id, round({score}, 6) + 0 AS score FROM embeddings e, embeddings q WHERE q.vec_id = 7 ORDER BY round({score}, 10) DESC, id LIMIT 10"
+
+
+def _vector(kind: str, metric: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, query = _collection(spark, sf_dir)
+        if kind == "exact":
+            found = vectors.exact(rows, query, 10, metric)
+        elif kind == "hnsw":
+            found = vectors.hnsw(rows, query, 10, metric)
+        else:
+            index = vectors.IvfIndex.build(rows, metric)
+            found = index.search(query, 10, len(index.centres) if kind == "ivf_all_cells" else None)
+        return found.select("id", F.round("score", 6).alias("score"))
+
+    return run
+
+
+for _metric in vectors.METRICS:
+    for _kind in ("exact", "ivf_all_cells", "ivf", "hnsw"):
+        QUERIES[f"vector_{_kind}_{_metric}"] = _vector(_kind, _metric)
+        if _kind in ("exact", "ivf_all_cells"):
+            SQL[f"vector_{_kind}_{_metric}"] = _nearest(_metric)
+
+
+@_query(_nearest("cosine").replace("e.vec_id AS id, ", "e.vec_id, ").replace(", id LIMIT", ", e.vec_id LIMIT"))
+def vector_similar_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SIMILAR_TO by media key; with so few cells the search probes all that hold its answers."""
+    out = engine(spark, sf_dir, text="embeddings")
+    rows, _ = _collection(spark, sf_dir)
+    out.register("imagenes", out.registered["embeddings"].frame.select("vec_id", F.concat(F.lit("img"), "vec_id", F.lit(".jpg")).alias("media_key")), "vec_id")
+    out.publish_media("imagenes", "vec_id", rows)
+    out.registered["imagenes"].media.ivf["cosine"] = vectors.IvfIndex.build(rows, "cosine", cells=8)
+    df = out.sql("SELECT vec_id, SIMILARITY_SCORE() AS score FROM imagenes WHERE SIMILAR_TO('img7.jpg', k=10) USING IVF WITH METRIC=cosine").frame
+    return df.withColumn("score", F.round("score", 6))
+
+
+def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= retrieval.MINIMUM), "doc_id", "text", 1 << 20)
+
+
+@_query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT *, len(w) AS n, least(greatest(CAST(floor(len(w) / 250.0 + 0.5) AS BIGINT), CAST(ceil(len(w) / 500.0) AS BIGINT)), len(w) // 200) AS c FROM w WHERE len(w) >= 200),
+k AS (SELECT *, unnest(range(c)) AS k FROM c)
+SELECT doc_id AS paper_id, k + 1 AS position, array_to_string(w[k * (n // c) + least(k, n % c) + 1 : (k + 1) * (n // c) + least(k + 1, n % c)], ' ') AS content FROM k""")
+def rag_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _papers(spark, sf_dir)
+
+
+@_query()
+def rag_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = _papers(spark, sf_dir).withColumn("chunk_id", F.col("paper_id") * 1000 + F.col("position"))
+    at = f"{_folder(spark)}/chunks"
+    pieces.write.parquet(at)
+    pieces = spark.read.parquet(at)
+    papers = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("title"))
+    found = retrieval.retrieve(TextIndex.build(pieces, "chunk_id", "content"), pieces, papers, WORDS)
+    return found.select("label", "chunk_id", "title", "position", F.round("score", 6).alias("score"))
+
+
+@_query("SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
+def source_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{_folder(spark)}/part.csv"
+    spark.read.parquet(f"{sf_dir}/part.parquet").coalesce(1).write.option("header", True).option("sep", ";").csv(at)
+    return read_delimited(spark, at).frame
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> tuple[Engine, int]:
+    out = engine(spark, sf_dir, _folder(spark), "events")
+    session = out.session()
+    session.sql("CREATE TABLE log(id INTEGER PRIMARY KEY, kind VARCHAR(40), worth FLOAT, who INTEGER)")
+    n = session.load("log", out.registered["events"].frame.select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("value").alias("worth"), F.col("user_id").alias("who")))
+    return out, n
+
+
+@_query("SELECT id, CASE WHEN id % 1 = 0 AND kind = 'click' THEN 'tap' ELSE kind END AS kind, worth, who FROM (SELECT event_id AS id, event_type AS kind, value AS worth, user_id AS who FROM events WHERE event_id >= 50) UNION ALL SELECT -1, 'new', 2.5, 3")
+def dml_insert_update_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = _changed(spark, sf_dir)
+    out.sql("DELETE FROM log WHERE id < 50")
+    out.sql("UPDATE log SET kind = 'tap' WHERE kind = 'click'")
+    out.sql("INSERT INTO log(kind, id, worth, who) VALUES('new', -1, 2.5, 3)")
+    return out.sql("SELECT * FROM log").frame
+
+
+@_query("SELECT count(*) AS count FROM events")
+def transaction_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = _changed(spark, sf_dir)
+    session = out.session()
+    session.sql("BEGIN TRANSACTION")
+    session.sql("DELETE FROM log")
+    session.sql("ROLLBACK")
+    return out.sql("SELECT COUNT(*) FROM log").frame
