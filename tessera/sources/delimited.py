@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import MaintenanceError
 
@@ -38,10 +40,11 @@ def read_delimited(spark: SparkSession, path: str) -> Preview:
     if first is None:
         raise MaintenanceError("the file is empty")
     mark = delimiter(first[0])
-    raw = spark.read.csv(path, header=True, sep=mark, mode="FAILFAST", nullValue="\0", emptyValue="", inferSchema=False, enforceSchema=False, multiLine=True)
-    names = raw.columns
+    names = next(csv.reader([first[0]], delimiter=mark))
     if len(names) > MAX_COLUMNS or len(set(names)) < len(names) or any(not n.strip() for n in names):
         raise MaintenanceError("column names repeat, are blank or too many")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = spark.read.schema(schema).csv(path, header=True, sep=mark, mode="FAILFAST", nullValue="\0", emptyValue="", enforceSchema=False, multiLine=True)
     raw = raw.na.fill("")
     found = raw.agg(*[_types(n).alias(n) for n in names]).first()
     kinds = {n: "INTEGER" if found[n]["i"] else "FLOAT" if found[n]["f"] else "BOOLEAN" if found[n]["b"] else "VARCHAR" for n in names}
