@@ -64,10 +64,12 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     right = c.astype(kind).T
     for lo in range(0, len(q), 256):
         s = q[lo : lo + 256].astype(kind) @ right
+        own = q_ids[lo : lo + 256, None] == c_ids[None, :]
+        s[own] = 0
         if kind is object and len(s) and max(abs(int(s.max())), abs(int(s.min()))) >= 2**63:
             raise OverflowError("a score exceeds 64 bits")
         s = s.astype(np.int64)
-        s[q_ids[lo : lo + 256, None] == c_ids[None, :]] = _OWN
+        s[own] = _OWN
         if most < 2**48:  # score and place in one number: ties fall to the smaller id, and no two are equal
             key = np.where(s == _OWN, _OWN, s * SHARD_ROWS * 2) + (len(c) - 1 - np.arange(len(c)))
             best = np.argpartition(-1 - key, k - 1, axis=1)[:, :k]
