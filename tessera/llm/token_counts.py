@@ -13,7 +13,6 @@ this machine's and the tokenizer's Unicode tables may class differently, takes i
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -34,10 +33,51 @@ from .tokens import Numbers, _room, byte_characters
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 MAX_CHUNKS, MAX_COUNTS, MAX_PREFIXES = 500_000, 8_000_000, 500_000
+#: Words of up to half so many characters are counted by whole arrays.
+WIDE = 32
 _RUN_THEN_SPACE = re.compile(r"\s ")
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\u024f\u2010-\u2027]*\Z")
 
 
+class NumberTable:
+    """A hash table from non-zero 64-bit keys to numbers of at least 0, looked up and filled by whole arrays."""
+
+    def __init__(self, bits: int = 12) -> None:
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.int32)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the keys, -1 where there is none."""
+        slot, out, left = self._home(keys), np.full(len(keys), -1, dtype=np.int32), np.arange(len(keys))
+        while len(left):
+            at = slot[left]
+            there = self.keys[at]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left = left[~hit & (there != 0)]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Different keys that aren't in the table yet."""
+        if 3 * (self.n + len(keys)) > 1 << self.bits:
+            old, kept = self.keys != 0, self
+            bigger = NumberTable(max(self.bits + 1, int(3 * (self.n + len(keys))).bit_length()))
+            bigger.add(kept.keys[old], kept.values[old])
+            self.bits, self.keys, self.values = bigger.bits, bigger.keys, bigger.values
+        slot, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            at, first = np.unique(slot[free], return_index=True)
+            self.keys[at], self.values[at] = keys[free[first]], values[free[first]]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        self.n += len(keys)
+
+
 class PrefixCounts:
     """Counts at every prefix of chunks, for one tokenizer file."""
 
@@ -63,6 +103,14 @@ class PrefixCounts:
         self.longest = max(map(len, self.rank))
         self.bytes_of = {v: k for k, v in self.rank.items()}
         self.suffix_lengths = self._suffix_lengths()
+        # The same for whole arrays: tokens by hash and length, and by their last two bytes a bit per possible length.
+        self.tokens = NumberTable()
+        raws = [*self.rank]
+        self.tokens.add(np.array([_token_key(np.uint64(_text_hash(t)), len(t)) for t in raws]), np.array([self.rank[t] for t in raws]))
+        self.sizes = np.zeros(1 << 16, dtype=np.uint64)
+        for end, sizes in self.suffix_lengths.items():
+            self.sizes[end[0] << 8 | end[1]] = sum(1 << n for n in sizes if n <= WIDE)
+        self.pairs = NumberTable()
         self.bpe = tiktoken.Encoding("prefix-counts", pat_str=r"[\s\S]+", mergeable_ranks=self.rank, special_tokens={})._core_bpe
         self.fits: dict[tuple[int, int], bool] = {}
         self.prefixes: dict[bytes, tuple[list[int], list[int]]] = {}
@@ -120,14 +168,69 @@ class PrefixCounts:
                 known[piece[:i]] = (count, last)
         return count
 
+    def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_fit`` for arrays of pairs."""
+        keys = (left.astype(np.uint64) << np.uint64(32)) | (right.astype(np.uint64) + np.uint64(1))
+        out = self.pairs.find(keys)
+        if (new := np.unique(keys[out < 0])).size:
+            if self.pairs.n > 2_000_000:
+                self.pairs = NumberTable()
+            known = [self.bpe.encode_single_piece(self.bytes_of[k >> 32] + self.bytes_of[(k & 0xFFFFFFFF) - 1]) == [k >> 32, (k & 0xFFFFFFFF) - 1] for k in new.tolist()]
+            self.pairs.add(new, np.array(known, dtype=np.int32))
+            out = self.pairs.find(keys) if self.pairs.n == len(new) else np.where(out < 0, self.pairs.find(keys), out)
+        return out > 0
+
+    def many_counts(self, pieces: list[bytes]) -> np.ndarray:
+        """``piece_counts`` of pieces of at most ``WIDE`` bytes, a row each; longest pieces first."""
+        n, sizes = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        wide = int(sizes.max(initial=0))
+        text = np.frombuffer(b"".join(p.ljust(wide, b"\0") for p in pieces), np.uint8).reshape(n, wide)
+        h = np.zeros((wide + 1, n), dtype=np.uint64)
+        count, last = np.zeros((wide + 1, n), dtype=np.int32), np.full((wide + 1, n), -1, dtype=np.int32)
+        one = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
+        for i in range(1, wide + 1):
+            m = int(np.searchsorted(-sizes, -i, "right"))  # pieces that reach so far
+            byte = text[:m, i - 1]
+            h[i, :m] = h[i - 1, :m] * np.uint64(_BASE) + byte + np.uint64(1)
+            open_ = np.ones(m, dtype=bool)
+            possible = self.sizes[text[:m, i - 2].astype(np.int64) << 8 | byte] if i > 1 else np.zeros(m, np.uint64)
+            for size in range(i, 0, -1):
+                row = np.flatnonzero(open_ & ((possible >> np.uint64(size)) & np.uint64(1)).astype(bool)) if size > 1 else np.flatnonzero(open_)
+                if not len(row):
+                    continue
+                if size > 1:
+                    token = self.tokens.find(_token_key(h[i, row] - h[i - size, row] * _POWERS[size], size))
+                    row, token = row[token >= 0], token[token >= 0]
+                else:
+                    token = one[byte[row]]
+                if size < i:
+                    good = self._fits(last[i - size, row], token)
+                    row, token = row[good], token[good]
+                count[i, row], last[i, row] = count[i - size, row] + 1, token
+                open_[row] = False
+        return count.T
+
+    def _word_counts(self, chunks: list[str], marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts at the ends of characters of words; marked ones have one more character, which is a token of its own.
+
+        Returns the order in which the chunks stand, the counts of all in turn, and how many each has.
+        """
+        raw = [c.encode() for c in chunks]
+        order = np.argsort([-len(r) for r in raw], kind="stable")
+        raw, marked = [raw[k] for k in order], marked[order]
+        counts, sizes = self.many_counts(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+        counts = np.hstack([counts, np.zeros((len(raw), 1), np.int32)])
+        at = np.arange(1, counts.shape[1])
+        text = np.frombuffer(b"".join(r.ljust(len(at), b"\0") for r in raw), np.uint8).reshape(len(raw), len(at))
+        following = np.hstack([text[:, 1:], np.zeros((len(raw), 1), np.uint8)])
+        ends = (at <= sizes[:, None]) & (following & 0xC0 != 0x80)
+        row = np.flatnonzero(marked)
+        counts[row, sizes[row] + 1] = counts[row, sizes[row]] + 1
+        ends[row, sizes[row]] = True
+        return order, counts[:, 1:][ends], ends.sum(1)
+
     def chunk_counts(self, chunk: str) -> list[int]:
         """Token counts of ``chunk[:k]`` for k from 1 to its length in characters."""
-        # The common case, a word of letters, perhaps with one mark after it: one or two pieces.
-        word = chunk[1:] if chunk[:1] == " " else chunk
-        mark = word[-1:] in (".", ",")
-        if (word[:-1] if mark else word).isalpha() and _PLAIN.match(chunk):
-            counts = self._characters(chunk[:-1] if mark else chunk)
-            return [*counts, counts[-1] + 1] if mark else counts
         if any(s in chunk for s in self.special) or not _PLAIN.match(chunk):
             return self._by_library(chunk)
         out: list[int] = []
@@ -174,23 +277,40 @@ class PrefixCounts:
         if len(self.number) > MAX_CHUNKS or self.used > MAX_COUNTS:
             self._clear()
         which, new = self.number.of(chunks)
-        collecting = gc.isenabled()
-        gc.disable()  # many small lists and no cycles: the collector would go through them again and again
-        try:
-            counts = [self.chunk_counts(c[1:] if c[:1] == "\0" else " " + c) for c in new]
-        finally:
-            if collecting:
-                gc.enable()
-        sizes, first = np.fromiter(map(len, counts), np.int64, len(counts)), len(self.number) - len(new)
-        total = int(sizes.sum())
+        if new:
+            self._fill([c[1:] if c[:1] == "\0" else " " + c for c in new])
+        return which
+
+    def _fill(self, new: list[str]) -> None:
+        """Append the counts of new chunks to the tables: words all at once, the others one by one."""
+        words, marked, at_word, others = [], [], [], []
+        for n, chunk in enumerate(new):
+            mark = chunk[-1:] in (".", ",")
+            bare = chunk[:-1] if mark else chunk
+            if len(bare) <= WIDE // 2 and bare.lstrip(" ").isalpha() and bare.rfind(" ") <= 0 and _PLAIN.match(bare):
+                words.append(bare)
+                marked.append(mark)
+                at_word.append(n)
+            else:
+                others.append(n)
+        sizes = np.zeros(len(new), dtype=np.int64)
+        lists = [self.chunk_counts(new[n]) for n in others]
+        sizes[others] = [len(x) for x in lists]
+        if words:
+            order, counts, many = self._word_counts(words, np.array(marked))
+            place = np.array(at_word)[order]
+            sizes[place] = many
+        first, total = len(self.number) - len(new), int(sizes.sum())
+        starts = self.used + np.cumsum(sizes) - sizes
         self.flat = _room(self.flat, self.used + total)
         self.starts, self.lengths, self.full = (_room(x, len(self.number)) for x in (self.starts, self.lengths, self.full))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(counts), np.int32, total)
-        self.starts[first : len(self.number)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[first : len(self.number)] = sizes
-        self.full[first : len(self.number)] = [c[-1] if c else 0 for c in counts]
+        if words:
+            self.flat[np.repeat(starts[place] - (np.cumsum(many) - many), many) + np.arange(len(counts))] = counts
+        for n, x in zip(others, lists, strict=True):
+            self.flat[starts[n] : starts[n] + len(x)] = x
         self.used += total
-        return which
+        self.starts[first : len(self.number)], self.lengths[first : len(self.number)] = starts, sizes
+        self.full[first : len(self.number)] = np.where(sizes > 0, self.flat[np.maximum(starts + sizes - 1, 0)], 0)
 
     def index(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text: its chunks, and the token count before each and at the end."""
@@ -222,6 +342,22 @@ class PrefixCounts:
         return 0
 
 
+_BASE = 0x100000001B3
+_POWERS = np.array([pow(_BASE, n, 2**64) for n in range(34)], dtype=np.uint64)
+
+
+def _text_hash(raw: bytes) -> int:
+    """A polynomial over the bytes, whose value for a part follows from those for two prefixes."""
+    h = 0
+    for b in raw:
+        h = (h * _BASE + b + 1) % 2**64
+    return h
+
+
+def _token_key(h: np.ndarray, size: int) -> np.ndarray:
+    return h ^ np.uint64(size * 0xD6E8FEB86659FD93 % 2**64)
+
+
 def split_chunks(text: str) -> list[str]:
     """Chunks of a text, without their leading spaces; the first is marked by a leading NUL."""
     if not text:
