@@ -77,9 +77,9 @@ class Engine:
 
     def publish_text(self, table: str, id_column: str, text_column: str, path: str | None = None, exact: bool = False) -> TextIndex:
         """Build a text index; with ``path``, write it, so that searches read the postings of their words only."""
-        index = TextIndex.build(self.registered[table].frame, id_column, text_column, exact)
-        self.registered[table].text[text_column] = (index.save(path) if path else index, id_column)
-        return self.registered[table].text[text_column][0]
+        index = TextIndex.build(self.registered[table].frame, id_column, text_column, exact, path)
+        self.registered[table].text[text_column] = (index, id_column)
+        return index
 
     def publish_media(self, table: str, id_column: str, vector_rows: DataFrame, key_column: str = "media_key") -> None:
         """vector_rows: (id, vector). The table's ``key_column`` names the media of a row."""

@@ -36,7 +36,7 @@ def query_words(text: str) -> list[str]:
 class TextIndex:
     """postings (id, term, tf), documents (id, length, norm), lexicon (term, df), and the number and mean length of documents.
 
-    The norm is that of all TF-IDF weights of a document. Documents without words count in n and the mean length.
+    The norm is that of all TF-IDF weights of a document. Documents without words count in n and the mean length only.
     """
 
     postings: DataFrame
@@ -46,24 +46,27 @@ class TextIndex:
     mean_length: float
 
     @classmethod
-    def build(cls, table: DataFrame, id_column: str, text_column: str, exact: bool = False) -> TextIndex:
+    def build(cls, table: DataFrame, id_column: str, text_column: str, exact: bool = False, path: str | None = None) -> TextIndex:
+        """With ``path`` the tables are written, so that texts are split once and queries start from the tables.
+
+        Postings are sorted by term: a query reads the row groups of its words only.
+        """
+        spark = table.sparkSession
         split = _exact(F.col(text_column)) if exact else words(F.coalesce(F.col(text_column), F.lit("")))
-        tokens = table.select(F.col(id_column).alias("id"), split.alias("words"))
-        sizes = tokens.select("id", F.size("words").cast("long").alias("length"))
-        n, total = sizes.agg(F.count(F.lit(1)), F.sum("length")).first()
-        postings = tokens.select("id", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        tokens = table.select(F.col(id_column).alias("id"), F.explode(split).alias("term"))
+        postings = tokens.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        if path:
+            postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+            postings = spark.read.parquet(f"{path}/postings")
         lexicon = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        n, total = table.count(), postings.agg(F.sum("tf")).first()[0] or 0
         weight = (1 + F.log("tf")) * (1 + F.log(F.lit(n + 1.0) / (F.col("df") + 1)))
-        norms = postings.join(lexicon, "term").groupBy("id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-        return cls(postings, sizes.join(norms, "id", "left"), lexicon, n, (total or 0) / n if n else 0.0)
-
-    def save(self, path: str) -> TextIndex:
-        """Write the tables, so that queries start from them. Postings are sorted by term: a query reads few row groups."""
-        spark = self.lexicon.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
-        self.documents.write.parquet(f"{path}/documents")
-        self.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/lexicon")
-        return TextIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "documents", "lexicon")), self.n, self.mean_length)
+        documents = postings.join(lexicon, "term").groupBy("id").agg(F.sum("tf").alias("length"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+        if path:
+            lexicon.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/lexicon")
+            documents.write.parquet(f"{path}/documents")
+            lexicon, documents = spark.read.parquet(f"{path}/lexicon"), spark.read.parquet(f"{path}/documents")
+        return cls(postings, documents, lexicon, n, total / n if n else 0.0)
 
     def search(self, query: str, model: str, limit: int | None = None) -> DataFrame:
         """(id, score) of the documents with a word of the query, best first, then by id."""

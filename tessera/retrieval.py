@@ -18,8 +18,8 @@ ROW_BYTES = 4079
 def chunks(papers: DataFrame, id_column: str, text_column: str, row_bytes: int = ROW_BYTES, overhead: int = 64) -> DataFrame:
     """(paper id, position from 1, content): chunks of nearly equal word counts, about ``TARGET`` each.
 
-    A text is cut into one more part as long as a part has more than ``row_bytes - overhead`` bytes. Texts below
-    ``MINIMUM`` words raise an error.
+    A text is cut into more parts as long as a part has more than ``row_bytes - overhead`` bytes. Texts below
+    ``MINIMUM`` words, and texts of words too long for a row, raise an error.
     """
     words = F.filter(F.split(F.col(text_column), r"\s+"), lambda w: w != "")
     base = papers.select(F.col(id_column).alias("paper_id"), words.alias("w"))
@@ -31,9 +31,11 @@ def chunks(papers: DataFrame, id_column: str, text_column: str, row_bytes: int =
         size, extra = F.floor(total / count).cast("int"), (total % count).cast("int")
         return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.array_join(F.slice("w", k * size + F.least(k, extra) + 1, size + F.when(k < extra, 1).otherwise(0)), " "))
 
-    # The first of the counts whose parts all fit; a word-by-word cut always does.
-    counts = F.filter(F.sequence(F.col("c"), F.least(F.col("c") + 64, F.size("w"))), lambda n: ~F.exists(parts(n), lambda p: F.octet_length(p) > row_bytes - overhead))
-    fitted = base.withColumn("c", checked).withColumn("c", F.coalesce(F.get(counts, 0), F.col("c")))
+    too_long = lambda n: F.exists(parts(n), lambda p: F.octet_length(p) > row_bytes - overhead)
+    # Further counts are tried only for texts whose first count fails, from the least that the bytes allow.
+    least = F.greatest(F.col("c") + 1, F.ceil(F.octet_length(F.array_join("w", " ")) / (row_bytes - overhead)).cast("int"))
+    other = F.get(F.filter(F.sequence(least, least + 64), lambda n: ~too_long(n)), 0)
+    fitted = base.withColumn("c", checked).withColumn("c", F.when(~too_long(F.col("c")), F.col("c")).otherwise(F.coalesce(other, F.raise_error(F.lit("no cut fits a row")).cast("int"))))
     return fitted.select("paper_id", F.posexplode(parts(F.col("c"))).alias("at", "content")).select("paper_id", (F.col("at") + 1).cast("long").alias("position"), "content")
 
 
