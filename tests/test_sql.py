@@ -110,7 +110,7 @@ def test_tables_change(spark, tmp_path):
         e.sql("INSERT INTO alumnos VALUES(4, 'x', 1, TRUE)")
     assert e.sql("UPDATE alumnos SET nota = 20.0, activo = FALSE WHERE nota > 15.0").affected == 2
     assert e.sql("DELETE FROM alumnos WHERE id = 2").affected == 1
-    assert Engine(spark, f"file://{tmp_path}").sql("SELECT * FROM alumnos").fetchall(9) == [(1, "Ana", 20.0, False), (3, "Sol", 20.0, False)]
+    assert Engine(spark, f"file://{tmp_path}").sql("SELECT * FROM alumnos ORDER BY id").fetchall(9) == [(1, "Ana", 20.0, False), (3, "Sol", 20.0, False)]
     with pytest.raises(DuplicateError):
         e.sql("UPDATE alumnos SET id = 7")
     e.sql("CREATE INDEX por_nota ON alumnos(nota)")
