@@ -95,8 +95,8 @@ def _laid_out(rows: DataFrame, n: int, by_source: DataFrame) -> DataFrame:
 def pieces(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The mix itself, and the documents it is made of.
 
-    First (slot, source, start, size, from_word, words): in order of slot, words of the document that starts at ``start``
-    in its source. Then the documents: doc_id, size, source, source_size, target, start. Documents with words are told
+    First (slot, source, start, pass, size, from_word, words): in order of slot, words of the document that starts at
+    ``start`` in its source, in the given pass over it. Then the documents: doc_id, size, source, source_size, target, start. Documents with words are told
     apart by (source, start).
     """
     sizes = scratch.store(docs.select("doc_id", "source", word_count(docs["text"]).alias("size")), "mix-sizes")
@@ -104,10 +104,10 @@ def pieces(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = scratch.store(_laid_out(sizes, sizes.count(), by_source).withColumnRenamed("__start", "start"), "mix-placed")
     again = placed.where("size > 0").select("source", "start", "size", "source_size", F.floor("target").cast("long").alias("most"), F.explode(F.lit([*range(MOST)])).alias("pass"))
     at = F.col("start") + F.col("pass") * F.col("source_size")
-    runs = again.select("source", "start", "size", at.alias("lo"), F.least(at + F.col("size"), F.col("most")).alias("hi")).where("lo < hi")
+    runs = again.select("source", "start", "pass", "size", at.alias("lo"), F.least(at + F.col("size"), F.col("most")).alias("hi")).where("lo < hi")
     cut = runs.select("*", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor((F.col("hi") - 1) / BLOCK))).alias("rank"))
     first, end = F.greatest("lo", F.col("rank") * BLOCK), F.least("hi", F.col("rank") * BLOCK + F.col("words"))
-    mixed = beside(cut, slots(by_source), ["source", "rank"]).select("slot", "source", "start", "size", (first - F.col("lo")).alias("from_word"), (end - first).alias("taken_words")).where("taken_words > 0")
+    mixed = beside(cut, slots(by_source), ["source", "rank"]).select("slot", "source", "start", "pass", "size", (first - F.col("lo")).alias("from_word"), (end - first).alias("taken_words")).where("taken_words > 0")
     return mixed.withColumnRenamed("taken_words", "words"), placed
 
 
@@ -122,18 +122,18 @@ def taken(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row for each time a document is taken, whole or its first words.
 
-    The slots of a source cover its stream from the start to its target, so a pass over a document takes a prefix of it;
-    the words of a prefix are joined by single spaces. The text travels through one shuffle. n_chars follows the text.
+    What is taken is what the schedule's slots took. They cover the stream of a source from its start to its target, so
+    a pass over a document takes a prefix of it; the words of a prefix are joined by single spaces. The text travels
+    through two shuffles: to find its place in its source, and to meet its slots. n_chars follows the text.
     """
-    size, digest, chunk, source_size, target, take = spare(docs, "__size", "__md5", "__chunk", "__source_size", "__target", "__take")
-    by_source = scratch.store(targets(docs.select("source", word_count(docs["text"]).alias("size"))), "mix-sources")
+    mixed, sized = pieces(docs)
+    size, digest, chunk, start, passes, take = spare(docs, "__size", "__md5", "__chunk", "__start", "__passes", "__take")
+    per_pass = F.array(*[F.coalesce(F.sum(F.when(F.col("pass") == k, F.col("words"))), F.lit(0)) for k in range(MOST)])
+    taken_by = mixed.groupBy("source", "start").agg(per_pass.alias(passes)).withColumnRenamed("start", start)
     md5, number = order_hash(docs["doc_id"])
-    keyed = docs.withColumn(size, word_count(docs["text"])).withColumn(digest, md5).withColumn(chunk, spread(number, docs.count()))
-    (start,) = spare(keyed, "__start")
+    keyed = docs.withColumn(size, word_count(docs["text"])).withColumn(digest, md5).withColumn(chunk, spread(number, sized.count()))
     placed = running(keyed, ["source"], chunk, [digest, "doc_id", size], {start: (F.col(size), "long")})
-    s = by_source.select("source", F.col("source_size").alias(source_size), F.floor("target").cast("long").alias(target))
-    per_pass = F.array(*[F.least(F.col(size), F.col(target) - F.col(start) - k * F.col(source_size)) for k in range(MOST)])
-    rows = beside(placed, s, ["source"]).withColumn(take, F.explode(per_pass)).where(F.col(take) > 0)
+    rows = beside(placed.where(F.col(size) > 0), taken_by, ["source", start]).withColumn(take, F.explode(passes)).where(F.col(take) > 0)
     words = F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
     text = F.when(F.col(take) == F.col(size), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col(take).cast("int")), " "))
     out = rows.withColumn("text", text)

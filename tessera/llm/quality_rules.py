@@ -129,7 +129,7 @@ def fit(counts: dict[int, int], rules: int = N_RULES, rounds: int = 500, strengt
     bad class would let six good votes outvote the one rule that sees the fault. model[c, k] estimates how often rule k
     votes good, when it votes, on class c: its accuracy on good text for c = 0, one minus its recall for c = k. Each
     estimate has a Beta prior worth ``strength`` texts: 0.99 on good text (rules are written to spare it), 0.03 for a
-    class's own rule, 0.85 for the others. It settles small corpora and keeps the classes in their roles.
+    class's own rule, 0.95 for the others. It settles small corpora and keeps the classes in their roles.
     """
     patterns = np.array(sorted(counts), dtype=np.int64)
     votes_of = patterns[:, None] // 3 ** np.arange(rules) % 3
