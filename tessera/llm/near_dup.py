@@ -1,13 +1,15 @@
-"""Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
+"""Near-duplicate documents: consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 1. Weights. A shingle is five words (all words of a shorter text); its weight is tf * idf with
    idf = ln(1 + N / max(df, N * SHARE)), df counted over all documents. Below SHARE of the documents rarity makes no
    difference, so only shingles above it need their df: a fixed-size table of counts per hash cell finds the cells that
    can hold one, then their shingles are counted exactly. There are at most ``MOST_HEAVY`` of them, as SHARE rises where
    the documents are so long that more could be.
-2. Signatures. Bin-wise consistent weighted sampling: shingles are dealt into ``BANDS * ROWS`` bins by hash, and each bin keeps
-   the shingle (and its quantised weight) with the least a-value of improved consistent weighted sampling; empty bins
-   borrow from bins named by a fixed random table. One evaluation per shingle instead of one per shingle and sample.
+2. Signatures. Consistent weighted sampling by events in time: a shingle that a text has tf times is tf numbered items, and
+   an item has events at rate idf in each of ``BANDS * ROWS`` bins, drawn from its hash alone. A bin keeps its first event,
+   so two texts agree in a bin as often as their weighted Jaccard similarity says. A text draws events until each bin has
+   had ``HORIZON`` on average (some 1,300 a text and one more per word), and the few empty bins borrow from bins named
+   by a fixed random table.
 3. Candidates. Texts that agree in a band are linked to the least text of that bucket: links grow with the members of a
    bucket, not with its pairs. Connected components of these links are candidate groups.
 4. Verification. Within a candidate group every pair is compared exactly by weighted Jaccard similarity, as products of
@@ -41,6 +43,8 @@ BANDS, ROWS = 36, 7
 SHARE, MOST_HEAVY = 0.25, 1 << 17
 CELL_BITS, CELLS_PER_ROW = 18, 1 << 15
 BLOCK_LOAD, DOC_LOAD = 400_000, 200
+#: Events expected in each bin: one bin in 148 stays empty and borrows.
+HORIZON = 5.0
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -96,29 +100,36 @@ class Idf:
         return out
 
 
-def _uniform(h: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    x = mix(h + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
-    return ((x >> np.uint64(32)).astype(float) + 0.5) / 2**32, ((x & np.uint64(0xFFFFFFFF)).astype(float) + 0.5) / 2**32
+def items(h: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle that a text has tf times becomes tf items, so that a sum over common items is the sum of minima: place in h, item."""
+    more = np.repeat(np.arange(len(h)), tf)
+    nth = np.arange(len(more)) - np.repeat(np.cumsum(tf) - tf, tf)
+    return more, np.where(nth == 0, h[more], mix(h[more] + nth.astype(np.uint64) * _M1) | np.uint64(1 << 63))
 
 
 _BORROW = np.random.default_rng(7).integers(0, BANDS * ROWS, (64, BANDS * ROWS))
 
 
-def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Samples [texts, bins], and which texts have any. doc and h as from ``shingles``."""
+def signatures(doc: np.ndarray, h: np.ndarray, tf: np.ndarray, weight: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Samples [texts, bins], and which texts have any. doc, h and tf as from ``shingles``; weight: of one occurrence."""
     bins = BANDS * ROWS
-    out, filled = np.zeros((texts, bins), dtype=np.uint64), np.zeros((texts, bins), dtype=bool)
+    out, soonest = np.zeros((texts, bins), dtype=np.uint64), np.full((texts, bins), np.inf)
     if len(h):
-        (u1, u2), (u3, u4), (beta, _) = _uniform(h, 1), _uniform(h, 2), _uniform(h, 3)
-        r, c = -np.log(u1 * u2), -np.log(u3 * u4)
-        t = np.floor(np.log(weight) / r + beta)
-        a = np.log(c) - r * (t - beta) - r
-        cell = doc * bins + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(16)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        least = np.repeat(np.minimum.reduceat(a, first), np.diff(np.append(first, len(a))))
-        won = np.flatnonzero(a == least)[::-1]  # of equal ones the first stays
-        out.reshape(-1)[cell[won]] = mix(h[won] ^ (t[won].astype(np.int64).astype(np.uint64) * _M2))
-        filled.reshape(-1)[cell[won]] = True
+        more, item = items(h, tf)
+        key, row, pace = mix(item), doc[more] * bins, 1 / (bins * weight[more])
+        until = (HORIZON / np.maximum(np.bincount(doc, tf * weight, texts), 1e-300))[doc[more]]
+        t, step = np.zeros(len(key)), 0
+        while len(key):
+            step += 1
+            x = mix(key + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
+            t = t - np.log(((x >> np.uint64(32)).astype(float) + 0.5) / 2**32) * pace
+            on = np.flatnonzero(t <= until)
+            x, t, key, row, pace, until = (v[on] for v in (x, t, key, row, pace, until))
+            cell = row + ((x & np.uint64(0xFFFFFFFF)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+            np.minimum.at(soonest.reshape(-1), cell, t)
+            won = t == soonest.reshape(-1)[cell]
+            out.reshape(-1)[cell[won]] = x[won]
+    filled = np.isfinite(soonest)
     has = filled.any(1)
     row, col = np.nonzero(~filled & has[:, None])
     for borrow in _BORROW:
@@ -206,7 +217,7 @@ def _band_udf(of: Idf):
             load, keys = [], []
             for part in slices(texts):
                 doc, h, tf = shingles(part)
-                samples, has = signatures(doc, h, tf * of(h), len(part))
+                samples, has = signatures(doc, h, tf, of(h), len(part))
                 load.append(np.bincount(doc, tf, len(part)).astype(np.int64))
                 keys += [k if ok else [] for k, ok in zip(bands(samples), has, strict=True)]
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(load) if load else np.zeros(0, np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["n_words", "bands"])
@@ -220,10 +231,7 @@ def similar(texts: list[str], of: Idf, split: int | None = None) -> np.ndarray:
     w = of(h)
     n = len(texts)
     total = np.bincount(doc, tf * w, n)
-    # A shingle that a text has tf times becomes tf items, so that the sum over common items is the sum of minima.
-    more = np.repeat(np.arange(len(h)), tf)
-    nth = np.arange(len(more)) - np.repeat(np.cumsum(tf) - tf, tf)
-    item = np.where(nth == 0, h[more], mix(h[more] + nth.astype(np.uint64) * _M1) | np.uint64(1 << 63))
+    more, item = items(h, tf)
     _, column, count = np.unique(item, return_inverse=True, return_counts=True)
     shared = count[column] > 1
     rows, column, w = doc[more][shared], column[shared], w[more][shared]

@@ -119,6 +119,19 @@ def test_near_dup(spark):
     assert sorted(r["doc_id"] for r in near_dup.keep_one(df.unionByName(df)).collect()) == sorted(least.values())
 
 
+def test_near_dup_repeated_shingles(spark):
+    """Texts alike by a passage they repeat, each with words of its own, are found as their weighted Jaccard says."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(8):
+        passage = [f"p{k}x{rng.random()}" for _ in range(50)]
+        texts += [" ".join([*passage * 20, *(f"own{rng.random()}" for _ in range(50))]) for _ in range(2)]
+    want = brute_classes(texts)
+    assert len(set(want)) == 8
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(16)}
+
+
 def test_near_dup_blocks(spark, monkeypatch):
     """A group of many blocks gives the same classes."""
     rng = random.Random(5)
