@@ -7,8 +7,10 @@ are computed once per Python worker and chunk. The count at a prefix of a text i
 chunk's own entry: truncation and budget questions are answered by search, without encoding again.
 
 Defined cases: null counts as empty, with 0 tokens; ``doc_id`` is carried, so nulls and repeats are kept row by row; an
-empty table gives an empty result; other columns are ignored. A chunk that holds a special string, or whose characters
-this machine's and the tokenizer's Unicode tables may class differently, takes its counts from the tokenizer itself.
+empty table gives an empty result; other columns are ignored. A chunk whose characters this machine's and the tokenizer's
+Unicode tables may class differently takes its pieces, and which characters are white space, from the tokenizer's own
+pre-tokenization. A special string is one token between two chunks. Only a file whose special strings strip white space,
+want word borders or contain each other has chunks with such a string encoded anew at each prefix.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from .tokens import Numbers, _room, byte_characters
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
 MAX_CHUNKS, MAX_COUNTS, MAX_PREFIXES = 500_000, 8_000_000, 500_000
+#: Prefixes of pieces are remembered up to so many bytes.
+KNOWN = 24
 #: Words of up to half so many characters are counted by whole arrays.
 WIDE = 32
 _RUN_THEN_SPACE = re.compile(r"\s ")
@@ -94,6 +98,8 @@ class PrefixCounts:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t["content"] for t in file["added_tokens"]]
+        self.by_library = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file["added_tokens"]) or any(a in b for a in self.special for b in self.special if a != b)
+        self.spaces: dict[str, bool] = {" ": True}
         to_byte = byte_characters()
         raw = lambda token: bytes(map(to_byte.__getitem__, token))
         merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
@@ -144,7 +150,7 @@ class PrefixCounts:
         known, n = self.prefixes, len(piece)
         if len(known) > MAX_PREFIXES:
             known.clear()
-        done = n
+        done = min(n, KNOWN)
         while done and (state := known.get(piece[:done])) is None:
             done -= 1
         if done:
@@ -164,8 +170,9 @@ class PrefixCounts:
                         continue
                 count[i], last[i] = count[i - size] + 1, token
                 break
-            if i <= 24:
-                known[piece[:i]] = (count, last)
+        state = (count[: KNOWN + 1], last[: KNOWN + 1])  # a long piece is not kept whole
+        for i in range(done + 1, min(n, KNOWN) + 1):
+            known[piece[:i]] = state
         return count
 
     def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -231,17 +238,44 @@ class PrefixCounts:
 
     def chunk_counts(self, chunk: str) -> list[int]:
         """Token counts of ``chunk[:k]`` for k from 1 to its length in characters."""
-        if any(s in chunk for s in self.special) or not _PLAIN.match(chunk):
-            return self._by_library(chunk)
         out: list[int] = []
         base = 0
-        pieces = [m.group() for m in PIECE.finditer(chunk)]
+        if any(s in chunk for s in self.special):
+            if self.by_library:
+                return self._by_library(chunk)
+            done = 0
+            for m in re.finditer("|".join(map(re.escape, self.special)), chunk):
+                before = m.start() - done
+                counts = [0, *self._plain_counts(chunk[done : m.end() - 1])]  # until its end, a special string is text
+                out += [base + n for n in counts[1:]]
+                base += counts[before] + 1
+                out.append(base)
+                done = m.end()
+            return out + [base + n for n in self._plain_counts(chunk[done:])]
+        return self._plain_counts(chunk)
+
+    def _pieces(self, chunk: str) -> tuple[list[str], list[bool]]:
+        """The pieces of a chunk without special strings, and which are white space."""
+        if _PLAIN.match(chunk):
+            pieces = [m.group() for m in PIECE.finditer(chunk)]
+            return pieces, [p.isspace() for p in pieces]
+        split = self.library.pre_tokenizer.pre_tokenize_str
+        pieces = [chunk[a:b] for _, (a, b) in split(chunk)]
+        for c in {p[-1] for p in pieces} - self.spaces.keys():
+            self.spaces[c] = len(split(f"!{c}{c}!")) == 4  # one piece if a sign, three if a letter or number
+        return pieces, [self.spaces[p[-1]] for p in pieces]
+
+    def _plain_counts(self, chunk: str) -> list[int]:
+        """``chunk_counts`` of a chunk without special strings."""
+        out: list[int] = []
+        base = 0
+        pieces, space = self._pieces(chunk)
         k = 0
         while k < len(pieces):
             piece = pieces[k]
-            if piece.isspace() and k + 1 < len(pieces):  # a prefix inside a run of white space takes all of it as one piece
+            if space[k] and k + 1 < len(pieces):  # a prefix inside a run of white space takes all of it as one piece
                 run = piece
-                while k + 1 < len(pieces) and pieces[k + 1].isspace():
+                while k + 1 < len(pieces) and space[k + 1]:
                     k += 1
                     run += pieces[k]
                 lead = k + 1 < len(pieces) and pieces[k + 1][0] == " "

@@ -277,6 +277,24 @@ def test_token_counts(docs):
         assert table.at_every_prefix(t).tolist() == [count(t[:k]) for k in range(len(t) + 1)]
 
 
+def test_token_counts_of_all_scripts(monkeypatch):
+    """Every prefix of texts in any script and around special strings, without encoding prefixes anew; long unspaced texts too."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    monkeypatch.setattr(token_counts.PrefixCounts, "_by_library", lambda *_: pytest.fail("encodes each prefix anew"))
+    table, rng = token_counts.PrefixCounts(BYTE_BPE), random.Random(4)
+    bits = ["привет", "Ελλάδα", "مرحبا", "नमस्ते", "中文字", "日本", "。", "，", "😀", "👩\u200d💻", "٣٤", "½", "\u3000", "\u2028", "\xa0", "\x85", "\x1c", "\x1f", "\u180e", "\u200b", "\ufeff", "\u0301", "\U0003fffd", "<|endoftext|>", "<|endo", "'s", "'re", "'", "a", " ", "  ", "\n", "9", "!"]
+    for _ in range(1500):
+        t = "".join(rng.choices(bits, k=rng.randint(1, 9)))
+        want = [len(e.ids) for e in library.encode_batch_fast([t[:k] for k in range(len(t) + 1)], add_special_tokens=False)]
+        assert table.at_every_prefix(t).tolist() == want, repr(t)
+    long = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(60_000))
+    got = table.at_every_prefix(long)
+    for k in (1, 999, 30_001, 60_000):
+        assert got[k] == len(library.encode(long[:k], add_special_tokens=False).ids)
+
+
 def test_toxicity(spark, docs, labels):
     rng = random.Random(8)
     bad = ["idiotic", "wretch", "vermin"]
