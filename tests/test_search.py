@@ -132,6 +132,20 @@ def test_vectors(cloud, metric):
     assert index.search(q, 600).count() == 600  # widens until enough
 
 
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_default_recall(spark, metric):
+    """With its default cells and probes, an index without clear cells still finds 0.9 of the neighbours."""
+    x = np.random.default_rng(2).standard_normal((2500, 24))
+    index = vectors.IvfIndex.build(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<float>"), metric)
+    index.rows.cache()
+    found = []
+    for i in range(0, 2500, 100):
+        q = [float(v) for v in x[i].astype(np.float32)]
+        found.append(vectors.recall([r["id"] for r in index.search(q, 10).collect()], _true(x, np.array(q), metric, 10)))
+    index.rows.unpersist()
+    assert np.mean(found) >= 0.9
+
+
 def test_vector_errors(spark, cloud):
     with pytest.raises(SqlBindingError):
         vectors.exact(cloud[1], [0.0] * 12, 3)
