@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,13 @@ def test_near_dup_repeated_shingles(spark):
     assert got == {i: i - i % 2 for i in range(16)}
 
 
+def test_near_dup_short_texts():
+    """Texts of eight and nine words, alike in four of five shingles, meet in a band."""
+    texts = [" ".join(f"t{k}w{j}" for j in range(n)) for k in range(300) for n in (8, 9)]
+    bands = [x["bands"] for x in near_dup._band_udf(near_dup.Idf(1, 1, {})).func(iter([pa.array(texts)])).__next__().to_pylist()]
+    assert np.mean([bool({*a} & {*b}) for a, b in zip(bands[::2], bands[1::2], strict=True)]) > 0.99
+
+
 def test_near_dup_blocks(spark, monkeypatch):
     """A group of many blocks gives the same classes."""
     rng = random.Random(5)
