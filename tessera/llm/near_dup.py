@@ -1,26 +1,24 @@
-"""Near-duplicate documents: consistent weighted sampling over TF-IDF shingles, banded, verified.
-
-1. Weights. A shingle is five words (all words of a shorter text); its weight is tf * idf with
-   idf = ln(1 + N / max(df, N * SHARE)), df counted over all documents. Below SHARE of the documents rarity makes no
-   difference, so only shingles above it need their df: a fixed-size table of counts per hash cell finds the cells that
-   can hold one, then their shingles are counted exactly. There are at most ``MOST_HEAVY`` of them, as SHARE rises where
-   the documents are so long that more could be.
-2. Signatures. Consistent weighted sampling by events in time: a shingle that a text has tf times is tf numbered items, and
-   an item has events at rate idf in each of ``BANDS * ROWS`` bins, drawn from its hash alone. A bin keeps its first event,
-   so two texts agree in a bin as often as their weighted Jaccard similarity says. A text draws events until each bin has
-   had ``HORIZON`` on average (some 1,300 a text and one more per word), and the few empty bins borrow from bins named
-   by a fixed random table.
-3. Candidates. Texts that agree in a band are linked to the least text of that bucket: links grow with the members of a
-   bucket, not with its pairs. Connected components of these links are candidate groups.
-4. Verification. Within a candidate group every pair is compared exactly by weighted Jaccard similarity, as products of
-   sparse-to-dense tiles; groups larger than a block of ``BLOCK_LOAD`` words are compared block by block, a task per pair
-   of blocks. Only links that reach ``SIMILARITY`` leave the task, as a spanning forest.
+"""Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
+
+1. Weights. A shingle is five words (all words of a shorter text); its weight is tf * idf, idf = 1 + ln(N / df) / ln(N):
+   2 in one text, 1 in all N, whatever N is. df is the number of different texts that hold the shingle and is counted
+   for every shingle: texts are dealt into slices of ``SLICE_BYTES`` by their hash, a slice sends its distinct shingles to
+   parts of the hash space, a part adds them up and answers each slice. A shingle thus crosses the shuffle once a slice.
+2. Signatures. Improved consistent weighted sampling: for each of ``BANDS * ROWS`` samples and each shingle the variates
+   r and c (Gamma(2, 1)) and b (uniform) come from a hash of shingle and sample; t = floor(ln w / r + b) and
+   ln a = ln c - r * (t - b + 1); the sample is (shingle, t) of the least a. Two texts agree in a sample as often as their
+   weighted Jaccard similarity says, whatever their lengths. r, c and b have 2 ** 16 steps each, ties fall by hash.
+3. Candidates. Texts that agree in a band share a bucket.
+4. Verification, by exact weighted Jaccard similarity. First the least text of each bucket meets its other texts. Where a
+   bucket still holds several classes of verified links, all its texts outside its largest class meet all its texts, so no
+   pair of one bucket in different classes stays unseen. Both go tile by tile (``BLOCK_LOAD`` words a side), so a
+   bucket of any size is many tasks; its pairs are never rows.
 5. Classes are the components of the verified links; exact copies are one text from the start.
 
 Defined cases: null text counts as empty; equal texts (so all empty ones) form one class, wordless texts have no other
 links; the class id is the least doc_id of the class, null if all are null; repeated rows stay rows; an empty table gives
 an empty result; other columns are ignored by ``classes`` and carried through by ``keep_one``. Texts are identified by
-64 bits of hash: among n distinct texts n * n / 2 ** 65 false copies are expected, 0.03 at a billion.
+64 bits of hash: among n distinct texts n * n / 2 ** 65 false copies are expected, 0.03 at a billion; shingles by 48 bits.
 """
 
 from __future__ import annotations
@@ -31,20 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import scratch
 from .components import components
-from .ranks import beside, running, spread
-from .text import slices, spare
+from .text import slices, spare, words_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 36, 7
-SHARE, MOST_HEAVY = 0.25, 1 << 17
-CELL_BITS, CELLS_PER_ROW = 18, 1 << 15
+#: At a similarity of 0.8 two texts share a band with probability 1 - (1 - 0.8 ** 6) ** 20 = 0.998.
+BANDS, ROWS = 20, 6
+SLICE_BYTES, PART_BYTES, LEAST_PARTS = 4_000_000, 24_000_000, 256
 BLOCK_LOAD, DOC_LOAD = 400_000, 200
-#: Events expected in each bin: one bin in 148 stays empty and borrows.
-HORIZON = 5.0
+#: Shingles and samples that are worked on at once, so that a tile stays in a core's cache.
+_TILE, _SAMPLES = 4096, 8
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -56,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text, in order of text and hash: text numbers, 48-bit hashes, term frequencies."""
+    """Distinct shingles of at most 2 ** 16 texts, in order of text and hash: text numbers, 48-bit hashes, term frequencies."""
     import xxhash
 
     number: dict[bytes, int] = {}
@@ -83,65 +79,74 @@ def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return (key[first] >> np.uint64(48)).astype(np.int64), key[first] & np.uint64(2**48 - 1), tf
 
 
-class Idf:
-    """Weights of shingles; ``heavy``: df of those above the share."""
-
-    def __init__(self, documents: int, floor: float, heavy: dict[int, int]) -> None:
-        self.default = float(np.log1p(documents / max(floor, 1.0)))
-        self.hashes = np.array(sorted(heavy), dtype=np.uint64)
-        self.values = np.log1p(documents / np.array([max(heavy[h], floor, 1) for h in sorted(heavy)], dtype=float))
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), self.default)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
-            out[hit] = self.values[at[hit]]
-        return out
-
-
-def items(h: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A shingle that a text has tf times becomes tf items, so that a sum over common items is the sum of minima: place in h, item."""
-    more = np.repeat(np.arange(len(h)), tf)
-    nth = np.arange(len(more)) - np.repeat(np.cumsum(tf) - tf, tf)
-    return more, np.where(nth == 0, h[more], mix(h[more] + nth.astype(np.uint64) * _M1) | np.uint64(1 << 63))
-
-
-_BORROW = np.random.default_rng(7).integers(0, BANDS * ROWS, (64, BANDS * ROWS))
-
-
-def signatures(doc: np.ndarray, h: np.ndarray, tf: np.ndarray, weight: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Samples [texts, bins], and which texts have any. doc, h and tf as from ``shingles``; weight: of one occurrence."""
-    bins = BANDS * ROWS
-    out, soonest = np.zeros((texts, bins), dtype=np.uint64), np.full((texts, bins), np.inf)
-    if len(h):
-        more, item = items(h, tf)
-        key, row, pace = mix(item), doc[more] * bins, 1 / (bins * weight[more])
-        until = (HORIZON / np.maximum(np.bincount(doc, tf * weight, texts), 1e-300))[doc[more]]
-        t, step = np.zeros(len(key)), 0
-        while len(key):
-            step += 1
-            x = mix(key + np.uint64(step * 0x9E3779B97F4A7C15 % 2**64))
-            t = t - np.log(((x >> np.uint64(32)).astype(float) + 0.5) / 2**32) * pace
-            on = np.flatnonzero(t <= until)
-            x, t, key, row, pace, until = (v[on] for v in (x, t, key, row, pace, until))
-            cell = row + ((x & np.uint64(0xFFFFFFFF)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-            np.minimum.at(soonest.reshape(-1), cell, t)
-            won = t == soonest.reshape(-1)[cell]
-            out.reshape(-1)[cell[won]] = x[won]
-    filled = np.isfinite(soonest)
-    has = filled.any(1)
-    row, col = np.nonzero(~filled & has[:, None])
-    for borrow in _BORROW:
-        if not len(row):
-            break
-        source = borrow[col]
-        ok = filled[row, source]
-        out[row[ok], col[ok]] = out[row[ok], source[ok]]
-        row, col = row[~ok], col[~ok]
-    if len(row):  # very few filled bins: the first of them
-        out[row, col] = out[row, filled.argmax(1)[row]]
-    return out, has
+def _shingles_of(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``shingles`` of any number of texts."""
+    out, at = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    for part in slices(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts):
+        doc, h, tf = shingles(part)
+        out.append((doc + at, h, tf))
+        at += len(part)
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def idf(df: np.ndarray, texts: int) -> np.ndarray:
+    """Weight of one occurrence of a shingle that ``df`` of ``texts`` texts hold."""
+    return 1 + np.log(max(texts, 1) / df) / np.log(max(texts, 2))
+
+
+def pack_df(df: np.ndarray) -> bytes:
+    """A byte for each count; those from 255 on follow in full."""
+    return np.minimum(df, 255).astype(np.uint8).tobytes() + df[df >= 255].astype("<i8").tobytes()
+
+
+def unpack_df(raw: bytes, n: int) -> np.ndarray:
+    df = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    df[df == 255] = np.frombuffer(raw, "<i8", offset=n)
+    return df
+
+
+def _gamma2() -> np.ndarray:
+    """Quantiles of Gamma(2, 1) at the middles of 2 ** 16 equal shares: 1 - (1 + x) * exp(-x) = u, by Newton's method."""
+    u = (np.arange(2**16) + 0.5) / 2**16
+    x = np.where(u < 0.5, np.sqrt(2 * u), 1 - np.log(1 - u))
+    for _ in range(60):
+        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - u) / (x * np.exp(-x)), x / 2)
+    return x
+
+
+_R = _gamma2().astype(np.float32)
+_LN_C = np.log(_gamma2()).astype(np.float32)
+_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Samples [texts, BANDS * ROWS], and which texts have any; doc ascends, weight is the whole weight of a shingle in its text."""
+    best = np.full((texts, BANDS * ROWS), np.uint64(2**64 - 1))
+    key = mix(h + np.uint64(0x632BE59BD9B4E019))
+    log_weight = (np.round(np.log(weight) * 4096) / 4096).astype(np.float32)
+    low, step = np.uint64(0xFFFF), np.float32(1 / 2**16)
+    for at in range(0, len(h), _TILE):
+        of, item, ln_w = doc[at : at + _TILE], key[at : at + _TILE], log_weight[at : at + _TILE]
+        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        for s in range(0, BANDS * ROWS, _SAMPLES):
+            x = item * _SEEDS[s : s + _SAMPLES, None]
+            x ^= x >> np.uint64(32)
+            x *= _M1
+            x ^= x >> np.uint64(29)
+            r, b = _R[x & low], ((x >> np.uint64(16)) & low).astype(np.float32)
+            b += np.float32(0.5)
+            b *= step
+            t = np.floor(ln_w / r + b)
+            ln_a = _LN_C[x >> np.uint64(48)] - r * (t - b + np.float32(1))
+            order = ln_a.view(np.uint32)
+            order = np.where(order >> np.uint32(31), ~order, order | np.uint32(2**31))  # rises with ln_a
+            name = (x >> np.uint64(24)).astype(np.uint32) + t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
+            found = np.minimum.reduceat((order.astype(np.uint64) << np.uint64(32)) | name, starts, axis=1)
+            rows = of[starts]
+            best[rows, s : s + _SAMPLES] = np.minimum(best[rows, s : s + _SAMPLES], found.T)
+    has = np.zeros(texts, dtype=bool)
+    has[doc] = True
+    return best & np.uint64(0xFFFFFFFF), has
 
 
 def bands(samples: np.ndarray) -> np.ndarray:
@@ -152,173 +157,174 @@ def bands(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _counts(docs: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Documents by hash cell (a document counts once for each of its distinct shingles), documents with words, shingles."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, n = np.zeros(1 << CELL_BITS, dtype=np.int64), np.zeros(2, dtype=np.int64)
-        for batch in batches:
-            for texts in slices(batch.column(0)):
-                doc, h, _ = shingles(texts)
-                cells += np.bincount((h >> np.uint64(48 - CELL_BITS)).astype(np.int64), minlength=len(cells))
-                n += (len(np.unique(doc)), len(h))
-        rows = [*range(0, len(cells), CELLS_PER_ROW)]
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *rows]), pa.array([n.tobytes(), *(cells[k : k + CELLS_PER_ROW].astype("<i4" if cells.max(initial=0) < 2**31 else "<i8").tobytes() for k in rows)], pa.binary())], names=["at", "counts"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = np.frombuffer(raw, "<i8" if at < 0 or len(raw) > 4 * CELLS_PER_ROW else "<i4").astype(np.int64)
-                sums[at] = sums[at] + new if at in sums else new
-        yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["at", "counts"])
-
-    schema = "at long, counts binary"
-    rows = docs.select("text").mapInArrow(local, schema).repartition((1 << CELL_BITS) // CELLS_PER_ROW + 1, "at").mapInArrow(merge, schema).collect()  # 2 ** CELL_BITS numbers
-    cells, n = np.zeros(1 << CELL_BITS, dtype=np.int64), np.zeros(2, dtype=np.int64)
-    for row in rows:
-        counts = np.frombuffer(row["counts"], "<i8")
-        if row["at"] < 0:
-            n += counts
-        else:
-            cells[row["at"] : row["at"] + CELLS_PER_ROW] += counts
-    return cells, int(n[0]), int(n[1])
-
-
-def idf(docs: DataFrame) -> Idf:
-    """Inverse document frequencies over all rows of ``docs(text)``."""
-    cells, documents, total = _counts(docs)
-    floor = max(documents * SHARE, total / MOST_HEAVY)
-    hot = cells >= max(floor, 1)
-    if not documents or not hot.any():
-        return Idf(documents, floor, {})
-    bitmap = np.packbits(hot)
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(bitmap).astype(bool)
-        for batch in batches:
-            for texts in slices(batch.column(0)):
-                _, h, _ = shingles(texts)
-                h, n = np.unique(h[wanted[(h >> np.uint64(48 - CELL_BITS)).astype(np.int64)]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    counted = docs.select("text").mapInArrow(local, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
-    return Idf(documents, floor, {r["h"]: r["n"] for r in counted.collect()})  # at most MOST_HEAVY rows
-
-
 def text_id(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _band_udf(of: Idf):
-    @F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            load, keys = [], []
-            for part in slices(texts):
-                doc, h, tf = shingles(part)
-                samples, has = signatures(doc, h, tf, of(h), len(part))
-                load.append(np.bincount(doc, tf, len(part)).astype(np.int64))
-                keys += [k if ok else [] for k, ok in zip(bands(samples), has, strict=True)]
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(load) if load else np.zeros(0, np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["n_words", "bands"])
-
-    return run.asNondeterministic()
-
-
-def similar(texts: list[str], of: Idf, split: int | None = None) -> np.ndarray:
-    """Which pairs reach the similarity, as a symmetric matrix; split: only pairs of one text before it and one from it on."""
-    doc, h, tf = shingles(texts)
-    w = of(h)
-    n = len(texts)
-    total = np.bincount(doc, tf * w, n)
-    more, item = items(h, tf)
-    _, column, count = np.unique(item, return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    rows, column, w = doc[more][shared], column[shared], w[more][shared]
-    _, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    rows, column, w = rows[order], column[order], w[order]
-    common = np.zeros((n, n)) if split is None else np.zeros((split, n - split))
-    width = 2048
-    for at in range(0, int(column.max(initial=-1)) + 1, width):
-        lo, hi = np.searchsorted(column, (at, at + width))
-        part, root = np.zeros((n, width), dtype=np.float32), np.zeros(width)
-        part[rows[lo:hi], column[lo:hi] - at] = 1
-        root[column[lo:hi] - at] = w[lo:hi]
-        weighted = part * root.astype(np.float32)
-        common += weighted @ part.T if split is None else weighted[:split] @ part[split:].T
-    a, b = (total, total) if split is None else (total[:split], total[split:])
-    union = a[:, None] + b[None, :] - common
-    hit = (common >= (SIMILARITY - 1e-6) * union) & (common > 0)
-    if split is None:
-        return hit
-    whole = np.zeros((n, n), dtype=bool)
-    whole[:split, split:], whole[split:, :split] = hit, hit.T
-    return whole
-
-
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """(node, root) for the components of a symmetric boolean matrix, without the roots."""
-    out, left = [], np.ones(len(linked), dtype=bool)
-    for start in range(len(linked)):
-        if not left[start]:
-            continue
-        left[start] = False
-        stack = [start]
-        while stack:
-            found = np.flatnonzero(linked[stack.pop()] & left)
-            left[found] = False
-            stack += found.tolist()
-            out += [(x, start) for x in found.tolist()]
-    return out
-
-
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _verify(of: Idf):
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops texts that this task has lately passed on, so that a text with very many copies leaves each task about once."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for i, x in enumerate(batch.column(0).to_pylist()):
+            if x not in seen:
+                seen.add(x)
+                new.append(i)
+        if len(seen) > 1 << 20:
+            seen.clear()
+        yield batch if len(new) == len(batch) else batch.take(pa.array(new, pa.int64()))
+
+
+def _send(parts: int):
+    """The distinct shingles of a slice and how many of its texts hold each, by parts of the hash space."""
+    width = -(-(2**48) // parts)
+
+    def run(table: pa.Table) -> pa.Table:
+        _, h, _ = _shingles_of(table.column("text"))
+        h, n = np.unique(h, return_counts=True)
+        part = (h // np.uint64(width)).astype(np.int64)
+        which, first = np.unique(part, return_index=True)
+        ends = np.append(first[1:], len(h))
+        places = (h - part.astype(np.uint64) * np.uint64(width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        blobs = [places[a:b].tobytes() for a, b in zip(first, ends, strict=True)]
+        counts = [pack_df(n[a:b]) for a, b in zip(first, ends, strict=True)]
+        return pa.table({"part": pa.array(which), "slice": pa.array([table.column("slice")[0].as_py()] * len(which), pa.int64()), "h": pa.array(blobs, pa.binary()), "n": pa.array(counts, pa.binary())})
+
+    return run
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """For each slice that asks one part: the counts over all slices, in the order of its shingles."""
+    blobs = table.column("h").to_pylist()
+    sizes = [len(b) // 5 for b in blobs]
+    places = np.zeros((sum(sizes), 8), dtype=np.uint8)
+    places[:, :5] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
+    n = np.concatenate([unpack_df(raw, size) for raw, size in zip(table.column("n").to_pylist(), sizes, strict=True)])
+    _, inverse = np.unique(places.view("<u8").reshape(-1), return_inverse=True)
+    df = np.bincount(inverse, n).astype(np.int64)[inverse]
+    return pa.table({"slice": table.column("slice"), "part": table.column("part"), "df": pa.array([pack_df(x) for x in np.split(df, np.cumsum(sizes)[:-1])], pa.binary()), "many": pa.array(sizes, pa.int64())})
+
+
+def _sign(n_texts: int):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        doc, h, tf = _shingles_of(texts.column("text"))
+        _, inverse = np.unique(h, return_inverse=True)
+        answers = answers.sort_by("part")
+        df = np.concatenate([np.zeros(0, np.int64), *(unpack_df(raw, n) for raw, n in zip(answers.column("df").to_pylist(), answers.column("many").to_pylist(), strict=True))])[inverse]
+        texts_here = texts.num_rows
+        samples, has = signatures(doc, h, tf * idf(df, n_texts), texts_here)
+        at = np.searchsorted(doc, np.arange(texts_here + 1))
+        packed = [pack_df(df[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        words = np.bincount(doc, tf, texts_here).astype(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(texts_here + 1, dtype=np.int32) * BANDS), pa.array(bands(samples).reshape(-1)))
+        out = pa.table({"id": texts.column("id"), "n_words": pa.array(words), "df": pa.array(packed, pa.binary()), "bands": lists})
+        return out.filter(pa.array(has))
+
+    return run
+
+
+def signed_texts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(id, n_words, df, bands) of every distinct text of ``docs(text)`` that has words, and the number of these."""
+    rows = docs.select(text_id(docs["text"]).alias("id"), docs["text"].alias("text")).where(words_of(docs["text"]) != "")
+    n, size = rows.groupBy("id").agg(F.max(F.octet_length("text")).alias("n")).agg(F.count(F.lit(1)), F.sum("n")).first()
+    n_slices, parts = max(1, -(-(size or 0) // SLICE_BYTES)), max(LEAST_PARTS, -(-(size or 0) // PART_BYTES))
+    texts = rows.mapInArrow(_once, "id long, text string").withColumn("slice", F.pmod("id", F.lit(n_slices)).cast("long"))
+    texts = texts.repartition("slice").dropDuplicates(["slice", "id"])
+    sent = texts.groupBy("slice").applyInArrow(_send(parts), "part long, slice long, h binary, n binary")
+    answers = sent.groupBy("part").applyInArrow(_answer, "slice long, part long, df binary, many long")
+    signed = texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_sign(n), "id long, n_words long, df binary, bands array<long>")
+    return scratch.store(signed, "near-dup-texts"), n
+
+
+def _verify(n_texts: int):
+    """Links between texts of one group: each that asks meets all others of its group and of another class."""
+
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("block").to_numpy()
-        ids, first = np.unique(table.column("id").to_numpy(), return_index=True)
-        first = first[np.argsort(side[first], kind="stable")]
-        ids, side = table.column("id").to_numpy()[first], side[first]
-        texts = table.column("text").take(pa.array(first)).to_pylist()
-        split = None if side.min() == side.max() else int((side == side[0]).sum())
-        pairs = forest(similar(texts, of, split))
-        return pa.table([pa.array([ids[x] for x, _ in pairs], pa.int64()), pa.array([ids[y] for _, y in pairs], pa.int64())], schema=_LINKS)
+        group, row_id, row_class, asks = (table.column(c).to_numpy() for c in ("grp", "id", "class", "asks"))
+        ids, first, text = np.unique(row_id, return_index=True, return_inverse=True)
+        doc, h, tf = _shingles_of(table.column("text").take(pa.array(first)))
+        at = np.searchsorted(doc, np.arange(len(ids) + 1))
+        packed = table.column("df").take(pa.array(first)).to_pylist()
+        weight = idf(np.concatenate([unpack_df(raw, n) for raw, n in zip(packed, np.diff(at).tolist(), strict=True)]), n_texts)
+        total = np.bincount(doc, tf * weight, len(ids))
+        _, column = np.unique(h, return_inverse=True)
+        have = np.zeros(int(column.max(initial=0)) + 1, dtype=np.int64)
+        order = np.lexsort((asks, text, group))
+        ends = np.flatnonzero(np.concatenate((group[order][1:] != group[order][:-1], [True]))) + 1
+        found: list[tuple[int, int]] = []
+        for lo, hi in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
+            here = order[lo:hi]
+            members, where = np.unique(text[here], return_index=True)
+            classes = row_class[here][where].copy()
+            asking = np.unique(text[here][asks[here]])
+            starts = np.concatenate(([0], np.cumsum(at[members + 1] - at[members])[:-1]))
+            entry = np.concatenate([np.arange(at[m], at[m + 1]) for m in members])
+            columns, tfs, weights = column[entry], tf[entry], weight[entry]
+            for a, own in zip(asking, np.searchsorted(members, asking), strict=True):
+                mine = slice(at[a], at[a + 1])
+                have[column[mine]] = tf[mine]
+                common = np.add.reduceat(np.minimum(have[columns], tfs) * weights, starts)
+                have[column[mine]] = 0
+                hit = (common >= (SIMILARITY - 1e-9) * (total[a] + total[members] - common)) & (classes != classes[own])
+                if hit.any():
+                    joined, one = np.unique(classes[hit], return_index=True)
+                    found += [(int(ids[a]), int(ids[m])) for m in members[hit][one]]
+                    classes[np.isin(classes, joined)] = classes[own]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between texts, a spanning forest at least of all similar pairs found; and (doc_id, id) of every row."""
-    of = idf(docs)
-    rows = docs.select("doc_id", text_id(docs["text"]).alias("id"), _band_udf(of)("text").alias("s")).select("doc_id", "id", "s.*")
-    rows = scratch.store(rows, "near-dup-bands")
-    texts = rows.where(F.size("bands") > 0).groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
-    texts = scratch.store(texts, "near-dup-texts")
-    members = texts.select("id", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("band", "least")
-    near = members.join(buckets, "band").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
-    grouped = components(near)
-    grouped = grouped.select(F.col("node").alias("id"), F.col("root").alias("comp")).unionByName(grouped.select(F.col("root").alias("id"), F.col("root").alias("comp")).distinct())
-    sized = scratch.store(grouped.join(texts.select("id", "doc_id", "n_words"), "id"), "near-dup-groups")
-    number = F.pmod(F.xxhash64("id"), F.lit(2**32))
-    placed = running(sized.withColumn("__chunk", spread(number, sized.count())), ["comp"], "__chunk", ["id"], {"before": (F.col("n_words") + DOC_LOAD, "long")})
-    placed = placed.select("id", "doc_id", "comp", F.floor(F.col("before") / BLOCK_LOAD).alias("block"))
-    blocks = placed.groupBy("comp").agg(F.max("block").alias("last"))
-    tiles = placed.join(blocks, "comp").select("id", "doc_id", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
-    tiles = tiles.select("id", "doc_id", "comp", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    with_text = beside(docs.select("doc_id", text_id(docs["text"]).alias("id"), "text"), tiles, ["id", "doc_id"])
-    found = with_text.select("id", "text", "comp", "block", "lo", "hi").groupBy("comp", "lo", "hi").applyInArrow(_verify(of), "a long, b long")
-    return scratch.store(found, "near-dup-links"), rows.select("doc_id", "id")
+def _links(sides: DataFrame, material: DataFrame, n_texts: int, name: str) -> DataFrame:
+    """Verified links within groups of ``sides(grp, id, class, asks)``; groups beyond a block become tiles of blocks."""
+    load = F.col("n_words") + DOC_LOAD
+    loaded = scratch.store(sides.join(material.select("id", "n_words"), "id"), f"near-dup-{name}-sides")
+    blocks = lambda x: F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(x), F.lit(0)) / BLOCK_LOAD)).cast("long")
+    per = loaded.groupBy("grp").agg(blocks(load).alias("nb"), blocks(F.when(F.col("asks"), load)).alias("na"))
+    together = max(1, -(-(loaded.agg(F.sum(load)).first()[0] or 0) // BLOCK_LOAD))
+    placed = loaded.join(per, "grp")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    columns = ["grp", "id", "class", "asks", "na", "nb"]
+    asked = placed.where("na * nb > 1 or not asks").withColumn("asks", F.lit(False)).select(*columns, block("nb").alias("b"), upto("na").alias("a"))
+    asking = placed.where("asks").select(*columns, block("na").alias("a"), upto("nb").alias("b"))
+    tile = F.when(F.col("na") * F.col("nb") == 1, F.pmod(F.xxhash64("grp"), F.lit(together))).otherwise(F.xxhash64("grp", "a", "b"))
+    tiles = asked.unionByName(asking).select("grp", "id", "class", "asks", tile.alias("tile"))
+    found = tiles.join(material.select("id", "text", "df"), "id").groupBy("tile").applyInArrow(_verify(n_texts), "a long, b long")
+    return scratch.store(found, f"near-dup-{name}-links")
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """Verified links (a, b) between ids of texts: every pair of a bucket that reaches the similarity is linked by a path."""
+    signed, n_texts = signed_texts(docs)
+    members = signed.select("id", F.explode("bands").alias("band"))
+    buckets = members.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    near = scratch.store(members.join(buckets, "band"), "near-dup-near")
+    texts = docs.select(text_id(docs["text"]).alias("id"), docs["text"].alias("text")).join(near.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    material = scratch.store(texts.join(signed.select("id", "n_words", "df"), "id"), "near-dup-material")
+    hubs = near.select(F.col("hub").alias("grp"), "id").distinct()
+    first = _links(hubs.select("grp", "id", F.col("id").alias("class"), (F.col("id") == F.col("grp")).alias("asks")), material, n_texts, "first")
+    roots = components(first).select(F.col("node").alias("id"), "root")
+    classed = near.where("many > 2").join(roots, "id", "left").select("band", "id", F.coalesce("root", "id").alias("class"))
+    classed = scratch.store(classed, "near-dup-classed")
+    of_class = classed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    largest = of_class.groupBy("band").agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"))
+    # The same texts often meet in several bands; one of these will do.
+    open_ = largest.where("classes > 1").groupBy("n", "x").agg(F.min(F.struct("band", "main")).alias("b")).select("b.band", "b.main")
+    sides = classed.join(open_, "band").select(F.col("band").alias("grp"), "id", "class", (F.col("class") != F.col("main")).alias("asks"))
+    return first.unionByName(_links(sides, material, n_texts, "second"))
+
+
+def _rooted(docs: DataFrame) -> DataFrame:
+    """(doc_id, id, root) of every row: its text and the least text of its class."""
+    rows = docs.select("doc_id", text_id(docs["text"]).alias("id"))
+    roots = components(links(docs)).select(F.col("node").alias("id"), "root")
+    return rows.join(roots, "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, class_size) per row of ``docs(doc_id, text)``; class_id is the least doc_id of the class."""
-    found, rows = links(docs)
-    roots = components(found).select(F.col("node").alias("id"), "root")
-    rooted = rows.join(roots, "id", "left").select("doc_id", F.coalesce("root", "id").alias("root"))
+    rooted = _rooted(docs)
     # Pre-aggregated per task; then the rows meet their class again in a join that can be split where a class is large.
     of_class = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rooted.join(of_class, "root").select("doc_id", "class_id", "class_size")
@@ -326,10 +332,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their class: those with its least doc_id, one of each such row's repeats."""
-    found, rows = links(docs)
-    roots = components(found).select(F.col("node").alias("id"), "root")
-    rooted = rows.join(roots, "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
-    of_class = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("id").alias("i"))).alias("best"))
+    of_class = _rooted(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("id").alias("i"))).alias("best"))
     keep = of_class.select(F.col("best.d").alias("__d"), F.col("best.i").alias("__i"))
     (name,) = spare(docs, "__id")
     kept = docs.withColumn(name, text_id(docs["text"])).join(keep, F.col(name).eqNullSafe(F.col("__i")) & docs["doc_id"].eqNullSafe(F.col("__d")), "left_semi")

@@ -14,17 +14,22 @@ from pyspark.sql import functions as F
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\f\r"
 
-#: Texts handed to numpy at once hold about this many characters; a longer text goes alone.
-SLICE_CHARS = 4_000_000
+#: Texts handed to numpy at once hold about this many characters and are at most so many; a longer text goes alone.
+SLICE_CHARS, SLICE_TEXTS = 4_000_000, 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def words_of(text: Column) -> Column:
+    """The text from its first word to its last; null counts as empty."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACES))
+
+
 def word_count(text: Column) -> Column:
     """Number of words, JVM-side; null counts as empty."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACES))
+    trimmed = words_of(text)
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
@@ -36,7 +41,7 @@ def slices(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str]]:
     start = 0
     while start < len(texts):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        stop = min(start + SLICE_TEXTS, max(start + 1, int(np.searchsorted(ends, base + limit, "right"))))
         yield [t or "" for t in texts.slice(start, stop - start).to_pylist()]
         start = stop
 

@@ -82,14 +82,15 @@ def test_line_dedup(spark, docs):
 
 
 def brute_classes(texts):
-    """Components of weighted Jaccard >= 0.8 over five-word shingles, all pairs."""
+    """Components of weighted Jaccard >= 0.8 over five-word shingles with tf * idf, all pairs; idf counts different texts."""
     bags = []
     for t in texts:
         w = (t or "").encode().split()
         bags.append(collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else []))
-    df = collections.Counter(s for b in bags for s in b)
-    n = sum(bool(b) for b in bags)
-    idf = {s: math.log1p(n / max(d, n * near_dup.SHARE, 1)) for s, d in df.items()}
+    different = {t or "": b for t, b in zip(texts, bags, strict=True) if b}
+    df = collections.Counter(s for b in different.values() for s in b)
+    n = len(different)
+    idf = {s: 1 + math.log(n / d) / math.log(max(n, 2)) for s, d in df.items()}
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -133,11 +134,64 @@ def test_near_dup_repeated_shingles(spark):
     assert got == {i: i - i % 2 for i in range(16)}
 
 
-def test_near_dup_short_texts():
-    """Texts of eight and nine words, alike in four of five shingles, meet in a band."""
-    texts = [" ".join(f"t{k}w{j}" for j in range(n)) for k in range(300) for n in (8, 9)]
-    bands = [x["bands"] for x in near_dup._band_udf(near_dup.Idf(1, 1, {})).func(iter([pa.array(texts)])).__next__().to_pylist()]
-    assert np.mean([bool({*a} & {*b}) for a, b in zip(bands[::2], bands[1::2], strict=True)]) > 0.99
+def test_near_dup_weights(spark, monkeypatch):
+    """Every shingle's df is exact, over several slices and parts; rarity decides between texts that plain counts can't tell apart."""
+    rng = random.Random(13)
+    texts = [prose(rng, rng.randint(1, 120), 12) for _ in range(300)] + ["", None, "a b"] + ["x y z " * 200] * 3
+    monkeypatch.setattr(near_dup, "SLICE_BYTES", 9000)
+    signed, n = near_dup.signed_texts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    different = sorted({t for t in texts if t})
+    doc, h, _ = near_dup.shingles(different)
+    df = collections.Counter(h.tolist())
+    hashes = {tuple(h[doc == i].tolist()) for i in range(len(different))}
+    got = signed.collect()
+    assert n == len(different) == len(got) == len({r["id"] for r in got})
+    counts = collections.Counter(tuple(near_dup.unpack_df(r["df"], len(r["df"])).tolist()) for r in got)
+    assert counts == collections.Counter(tuple(df[x] for x in one) for one in hashes)
+    assert near_dup.unpack_df(near_dup.pack_df(np.array([1, 254, 255, 10**12])), 4).tolist() == [1, 254, 255, 10**12]
+
+    common = [" ".join(f"c{i}" for i in range(40))]
+    own = [" ".join(f"o{k}x{i}" for i in range(4)) for k in range(60)]
+    alike = brute_classes([f"{common[0]} {o}" for o in own])
+    assert len(set(alike)) == 60  # 36 of 44 shared, 0.82 by plain counts
+    frame = spark.createDataFrame([(k, f"{common[0]} {o}") for k, o in enumerate(own)], "doc_id long, text string")
+    assert near_dup.classes(frame).select("class_id").distinct().count() == 60
+
+
+def test_near_dup_samples_match_similarity():
+    """Texts of every length, weights of every kind: samples agree as often as the weighted Jaccard similarity says."""
+    rng = np.random.default_rng(14)
+    for n, top in ((3, 1), (8, 1), (40, 30), (300, 1), (300, 300), (5000, 4)):
+        agree, truth = [], []
+        for _ in range(30 if n < 1000 else 6):
+            h = rng.integers(0, 2**48, n, dtype=np.uint64)
+            w = rng.integers(1, top + 1, (2, n)) * rng.uniform(1, 2, n) * (rng.random((2, n)) < 0.93)
+            w[:, 0] = 1
+            doc = np.repeat([0, 1], (w > 0).sum(1))
+            samples, has = near_dup.signatures(doc, np.concatenate([h[w[0] > 0], h[w[1] > 0]]), np.concatenate([w[0][w[0] > 0], w[1][w[1] > 0]]), 3)
+            assert has.tolist() == [True, True, False]
+            agree.append((samples[0] == samples[1]).mean())
+            truth.append(np.minimum(*w).sum() / np.maximum(*w).sum())
+        assert abs(np.mean(agree) - np.mean(truth)) < 4 * np.sqrt(0.25 / (120 * len(agree))), (n, top)
+        assert np.std(np.array(agree) - truth) < 1.6 * np.sqrt(0.25 / 120)
+
+
+def test_near_dup_recall():
+    """Pairs just at the threshold meet in a band, whatever their length."""
+    rng = random.Random(15)
+    for words in (8, 9, 12, 20, 60, 200, 1000):
+        shingles = words - 4
+        own = max(1, int((shingles - 0.8 * shingles) / 1.8))  # shingles of the second text that the first lacks
+        met = []
+        for k in range(100):
+            base = [f"w{rng.random()}" for _ in range(words)]
+            texts = [" ".join(base), " ".join([*base[own:], *(f"n{k}x{i}" for i in range(own))])]
+            doc, h, tf = near_dup.shingles(texts)
+            keys = near_dup.bands(near_dup.signatures(doc, h, tf * 2.0, 2)[0])
+            similarity = len({*h[doc == 0].tolist()} & {*h[doc == 1].tolist()}) / len({*h.tolist()})
+            if similarity >= 0.8:
+                met.append(bool((keys[0] == keys[1]).any()))
+        assert not met or np.mean(met) >= 0.97, words
 
 
 def test_near_dup_blocks(spark, monkeypatch):
