@@ -1,21 +1,22 @@
 """Quality rules combined by weak supervision.
 
-Each rule looks at one statistic of a text and votes good, bad or abstains. Votes are packed into one base-3 pattern
-number, so the corpus reduces to a count per pattern (at most 3 ** number of rules rows, whatever the corpus size).
-Expectation-maximisation over those counts estimates, without labels, each rule's accuracy on good and on bad texts and
-the share of good texts; the posterior of a pattern is then the quality probability of every text that shows it. No rule
-has a veto: a text is kept when its posterior reaches ``KEEP``.
+Twelve rules look at statistics of a text; each votes good, bad or abstains. Several look at one fault in different ways
+(symbols, words that hold one, words of nothing else), so that a fault shows in more than one vote and a lone vote may be a
+rule's mistake. Votes are packed into one base-3 pattern number, so the corpus reduces to a count per pattern (at most
+3 ** 12 rows, whatever the corpus size; some hundreds in practice). Expectation-maximisation over those counts estimates,
+without labels, the share of good texts and how often each rule votes good, bad or abstains on good and on bad texts; the
+posterior of a pattern is then the quality probability of every text that shows it. No rule has a veto, and a text without
+a bad vote can fail, as a rule that abstains more on bad texts says something by abstaining: a text is kept when its
+posterior reaches ``KEEP``.
 
 Defined cases: a null text counts as empty; an empty text has only zero statistics, every rule abstains on it and its
-posterior is the estimated share of good texts; ``doc_id`` is carried, never used, so nulls and repeats are kept row by
-row; an empty table gives an empty result; other columns of the input are ignored by ``assess`` and untouched by
-``keep_good``.
+posterior is that of this pattern; ``doc_id`` is carried, never used, so nulls and repeats are kept row by row; an empty
+table gives an empty result; other columns of the input are ignored by ``assess`` and untouched by ``keep_good``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,12 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP = 0.5
 
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouted", "n_distinct")
+#: A word echoes when it stands among the ``ECHO`` words before it; a share of echoes doesn't depend on the text's length.
+ECHO = 100
+LONG_WORD = 25
+
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_dup_chars", "n_echoes", "n_upper", "n_marked", "n_lone", "n_loud", "n_long", "n_ended")
+_OF_WORDS = ("word_chars", "n_symbols", "n_upper", "n_marked", "n_lone", "n_loud", "n_long", "n_ended")
 _STATS_TYPE = T.StructType([T.StructField(name, T.LongType()) for name in STATS])
 
 
@@ -59,25 +65,47 @@ def repeat_words(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
+def echoes(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per document, the words that stand among the ``ECHO`` words before them."""
+    if not len(ids):
+        return np.zeros(len(sizes), dtype=np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    key = doc * np.int64(ids.max() + 1) + ids
+    order = np.argsort(key, kind="stable")
+    near = (key[order][1:] == key[order][:-1]) & (order[1:] - order[:-1] <= ECHO)
+    return np.bincount(doc[order[1:][near]], minlength=len(sizes))
+
+
+def _of_word(raw: bytes) -> tuple[int, ...]:
+    """What a word adds to each of ``_OF_WORDS``."""
+    word = raw.decode()
+    n = len(word)
+    if word.isalpha() and word.islower():
+        return n, 0, 0, 0, 0, 0, n > LONG_WORD, 0
+    symbols = sum(map(word.count, SYMBOLS))
+    upper = sum(map(str.isupper, word))
+    loud = n > 2 and upper > 1 and word.isupper() or word.endswith("!!")
+    return n, symbols, upper, symbols > 0, not any(map(str.isalnum, word)), loud, n > LONG_WORD, word.rstrip("\"')]»”’").endswith((".", "!", "?", "…", "。", "।", "؟"))
+
+
 def _rows(texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), len(STATS)), dtype=np.int64)
+    out = dict.fromkeys(STATS, np.zeros(len(texts), dtype=np.int64))
     number: dict[bytes, int] = {}
-    ids, sizes = [], np.zeros(len(texts), dtype=np.int64)
+    ids, lines = [], np.zeros((len(texts), 3), dtype=np.int64)
     for i, text in enumerate(texts):
         words = text.encode().split()  # bytes split at exactly space and 0x09 to 0x0D
-        sizes[i] = len(words)
         ids.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
-        lines = [line for line in text.split("\n") if line.strip(" \t\x0b\f\r")]
-        out[i] = (
-            len(words), len(text) - sum(map(text.count, " \t\n\x0b\f\r")), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), 0,
-            len(lines), len(text) - len(text.translate(_NO_UPPER)), sum(w.endswith(b"!!") for w in words) if "!!" in text else 0, len(set(words)),
-        )
-    out[:, 4] = repeat_words(np.concatenate(ids) if ids else np.zeros(0, np.int64), sizes)
-    return out
-
-
-#: Deletes the upper-case letters of Latin-1, Latin Extended-A, Greek and Cyrillic.
-_NO_UPPER = {c: None for c in chain(range(0x41, 0x5B), range(0xC0, 0xDF), range(0x391, 0x3AA), range(0x400, 0x430), (c for c in range(0x100, 0x180) if chr(c).isupper())) if chr(c).isupper()}
+        worded = [line for line in text.split("\n") if line.strip(" \t\x0b\f\r")]
+        once = set(worded)
+        lines[i] = len(worded), len(worded) - len(once), 0 if len(once) == len(worded) else sum(map(len, worded)) - sum(map(len, once))
+    out["n_lines"], out["n_dup_lines"], out["n_dup_chars"] = lines.T
+    sizes = np.array([len(x) for x in ids], dtype=np.int64)
+    if number:
+        flat, doc = np.concatenate(ids), np.repeat(np.arange(len(texts)), sizes)
+        of_word = np.array([_of_word(w) for w in number], dtype=np.int64)
+        out |= {name: np.bincount(doc, of_word[flat, k], len(texts)).astype(np.int64) for k, name in enumerate(_OF_WORDS)}
+        out |= {"n_words": sizes, "n_repeat_words": repeat_words(flat, sizes), "n_echoes": echoes(flat, sizes)}
+    return np.stack([out[name] for name in STATS], axis=1)
 
 
 @F.arrow_udf(_STATS_TYPE)
@@ -95,65 +123,68 @@ def base_failed(s: Column) -> Column:
     return (s["n_words"] < MIN_WORDS) | (s["n_repeat_words"] * 100 > s["n_words"] * MAX_REPEAT_PERCENT)
 
 
-def votes(s: Column) -> list[tuple[str, Column, Column, Column]]:
-    """The rules: name, may it vote, votes bad, votes good. One that does neither abstains."""
+def votes(s: Column) -> list[tuple[str, Column, Column]]:
+    """The rules: name, votes bad, votes good. One that does neither abstains; so do all on a text without words."""
     per_word = lambda name: s[name] / F.greatest(s["n_words"], F.lit(1))
-    symbols = s["n_symbols"] / F.greatest(s["word_chars"], F.lit(1))
-    dup = s["n_dup_lines"] / F.greatest(s["n_lines"], F.lit(1))
-    upper = s["n_upper"] / F.greatest(s["word_chars"], F.lit(1))
+    per_char = lambda name: s[name] / F.greatest(s["word_chars"], F.lit(1))
+    per_line = s["n_dup_lines"] / F.greatest(s["n_lines"], F.lit(1))
     length = s["word_chars"] / F.greatest(s["n_words"], F.lit(1))
-    some = s["n_words"] > 0
+    above = lambda name, x, bad, good: (name, x > bad, x < good)
     return [
-        ("symbols", some, symbols > 0.05, symbols < 0.02),
-        ("repeats", some, per_word("n_repeat_words") > 0.4, per_word("n_repeat_words") < 0.15),
-        ("lines", s["n_lines"] >= 3, dup > 0.4, dup < 0.2),
-        ("case", some, upper > 0.3, upper < 0.15),
-        ("shouting", some, per_word("n_shouted") > 0.2, per_word("n_shouted") < 0.05),
-        ("variety", s["n_words"].between(MIN_WORDS, 2000), per_word("n_distinct") < 0.2, per_word("n_distinct") > 0.4),
-        ("word_length", s["n_words"] >= 10, (length < 2.5) | (length > 14), length.between(3, 12)),
+        above("symbols", per_char("n_symbols"), 0.05, 0.02),
+        above("marked_words", per_word("n_marked"), 0.2, 0.08),
+        above("lone_marks", per_word("n_lone"), 0.2, 0.08),
+        above("repeats", per_word("n_repeat_words"), 0.4, 0.15),
+        above("echoes", per_word("n_echoes"), 0.75, 0.6),
+        above("lines", per_line, 0.4, 0.2),
+        above("line_chars", per_char("n_dup_chars"), 0.4, 0.2),
+        above("case", per_char("n_upper"), 0.3, 0.15),
+        above("loud_words", per_word("n_loud"), 0.2, 0.08),
+        ("word_length", (length < 2.5) | (length > 14), length.between(3, 12)),
+        above("long_words", per_word("n_long"), 0.1, 0.03),
+        ("sentences", per_word("n_ended") < 0.01, per_word("n_ended") > 0.02),
     ]
 
 
-N_RULES = 7
+N_RULES = 12
+GOOD, BAD = 1, 2
 
 
 def pattern(s: Column) -> Column:
     """All votes of a text as one number; rule k at digit k in base 3: 0 abstains, 1 good, 2 bad."""
-    return sum((F.when(may & bad, 2).when(may & good, 1).otherwise(0) * 3**k for k, (_, may, bad, good) in enumerate(votes(s))), F.lit(0)).cast("int")
+    some = s["n_words"] > 0
+    return sum((F.when(some & bad, BAD).when(some & good, GOOD).otherwise(0) * 3**k for k, (_, bad, good) in enumerate(votes(s))), F.lit(0)).cast("int")
 
 
-def fit(counts: dict[int, int], rules: int = N_RULES, rounds: int = 500, strength: float = 20.0) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
+def fit(counts: dict[int, int], rules: int = N_RULES, rounds: int = 500, doubt: float = 0.05) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
     """EM over pattern counts. Returns the quality of each counted pattern, the vote model and the shares of its classes.
 
-    Class 0 is good text; class k is text with the fault that rule k looks for, since faults rarely come together and one
-    bad class would let six good votes outvote the one rule that sees the fault. model[c, k] estimates how often rule k
-    votes good, when it votes, on class c: its accuracy on good text for c = 0, one minus its recall for c = k. Each
-    estimate has a Beta prior worth ``strength`` texts: 0.99 on good text (rules are written to spare it), 0.03 for a
-    class's own rule, 0.95 for the others. It settles small corpora and keeps the classes in their roles.
+    Class 0 is good text, class 1 bad. model[c, k, v] is how often rule k votes v (0 abstains, 1 good, 2 bad) on class c.
+    A prior worth a share ``doubt`` of the texts says that rules vote bad rarely on good text and more often on bad text,
+    where each sees some of the faults only. It tells the classes apart and keeps a rule from counting as infallible where
+    the other rules happened to agree with it throughout, so that a lone vote can be outvoted at every size of corpus.
     """
     patterns = np.array(sorted(counts), dtype=np.int64)
-    votes_of = patterns[:, None] // 3 ** np.arange(rules) % 3
-    good, bad = (votes_of == 1).astype(float), (votes_of == 2).astype(float)
+    vote = patterns[:, None] // 3 ** np.arange(rules) % 3
+    shown = (vote[:, :, None] == np.arange(3)).astype(float).reshape(len(patterns), rules * 3)
     n = np.array([counts[p] for p in patterns.tolist()], dtype=float)
-    prior = np.vstack([np.full(rules, 0.99), np.where(np.eye(rules, dtype=bool), 0.03, 0.95)])
-    prior_shares = np.array([0.86, *[0.14 / rules] * rules])
-    model, shares = prior, prior_shares
+    prior = np.array([[0.04, 0.94, 0.02], [0.15, 0.55, 0.3]])[:, None, :].repeat(rules, 1)
+    prior_shares = np.array([0.85, 0.15])
+    model, shares, strength = prior, prior_shares, doubt * n.sum() + 1
     for _ in range(rounds):
-        belief = _belief(good, bad, model, shares)
-        weight = n[:, None] * belief
-        new = (weight.T @ good + strength * prior) / (weight.T @ (good + bad) + strength)
-        new[0] = np.maximum(new[0], 0.98)
-        new_shares = (weight.sum(0) + strength * prior_shares) / (n.sum() + strength)
+        weight = n[:, None] * _belief(shown, model, shares)
+        seen = (weight.T @ shown).reshape(2, rules, 3) + strength * prior
+        new, new_shares = seen / seen.sum(2, keepdims=True), (weight.sum(0) + strength * prior_shares) / (n.sum() + strength)
         moved = max(np.abs(new - model).max(), np.abs(new_shares - shares).max())
         model, shares = new, new_shares
         if moved < 1e-10:
             break
-    return dict(zip(patterns.tolist(), _belief(good, bad, model, shares)[:, 0].tolist(), strict=True)), model, shares
+    return dict(zip(patterns.tolist(), _belief(shown, model, shares)[:, 0].tolist(), strict=True)), model, shares
 
 
-def _belief(good: np.ndarray, bad: np.ndarray, model: np.ndarray, shares: np.ndarray) -> np.ndarray:
+def _belief(shown: np.ndarray, model: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Posterior of each class for each pattern."""
-    log = good @ np.log(model).T + bad @ np.log1p(-model).T + np.log(shares)
+    log = shown @ np.log(model).reshape(len(model), -1).T + np.log(shares)
     each = np.exp(log - log.max(1, keepdims=True))
     return each / each.sum(1, keepdims=True)
 
@@ -175,9 +206,10 @@ def assess(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with its own columns. Two passes over the text, no shuffle of it."""
-    (name,) = spare(docs, "__s")
-    with_stats = docs.withColumn(name, text_stats(docs[text]))
+    """The rows of ``docs`` that the rules keep, with its own columns. One pass of statistics, no shuffle; the rows are stored with their votes meanwhile."""
+    name, shown, failed = spare(docs, "__s", "__pattern", "__failed")
     s = F.col(name)
-    learned = _learn(with_stats.select(pattern(s).alias("pattern")))
-    return with_stats.where(~base_failed(s) & pattern(s).isin([p for p, quality in learned.items() if quality >= KEEP])).drop(name)
+    voted = docs.withColumn(name, text_stats(docs[text])).withColumn(shown, pattern(s)).withColumn(failed, base_failed(s)).drop(name)
+    voted = scratch.store(voted, "quality-rules")
+    learned = _learn(voted.select(F.col(shown).alias("pattern")))
+    return voted.where(~F.col(failed) & F.col(shown).isin([p for p, quality in learned.items() if quality >= KEEP])).drop(shown, failed)

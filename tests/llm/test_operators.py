@@ -42,28 +42,64 @@ def rows_of(df):
     return [r.asDict() for r in df.collect()]
 
 
-def test_quality_statistics(docs):
-    for r in rows_of(quality_rules.assess(docs).join(docs.select("doc_id", "text").distinct(), "doc_id")):
-        words = (r["text"] or "").encode().split()
+def test_quality_statistics(spark, docs):
+    rng = random.Random(21)
+    more = ["a $x\n\n a $x \na $x\n" + prose(rng, 60), "#*$%&|<> " * 3 + "\n\t\n" + "É!! ÀB 中文。 x.\"\n" * 3, "one\n" * 4 + prose(rng, 55), "".join(rng.choice("ab #|\n.") for _ in range(3000))]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(500 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    for r in rows_of(quality_rules.assess(frame).join(frame.distinct(), "doc_id")):
+        text = r["text"] or ""
+        words = text.encode().split()
         windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
         covered = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        lines = [line for line in text.split("\n") if line.encode().split()]
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(words), sum(len(w.decode()) for w in words), len(covered))
+        assert (r["n_symbols"], r["n_dup_lines"]) == (sum(c in "#*$%&|<>" for c in text), sum(line in lines[:i] for i, line in enumerate(lines)))
+        assert (r["n_lines"], r["n_dup_chars"]) == (len(lines), sum(len(line) for i, line in enumerate(lines) if line in lines[:i]))
+        assert r["n_echoes"] == sum(w in words[max(0, i - 100) : i] for i, w in enumerate(words))
+        decoded = [w.decode() for w in words]
+        assert r["n_upper"] == sum(c.isupper() for c in text) and r["n_marked"] == sum(any(c in "#*$%&|<>" for c in w) for w in decoded)
+        assert r["n_lone"] == sum(not any(c.isalnum() for c in w) for w in decoded) and r["n_long"] == sum(len(w) > 25 for w in decoded)
         assert r["base_failed"] == (len(words) < 50 or 2 * len(covered) > len(words)) and r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5)
 
 
 def test_quality_votes():
-    """Votes drawn from known accuracies: the faults that one rule alone sees are found, good texts are spared."""
+    """Noisy rules, three to a fault: a lone bad vote is outvoted, a fault is found by its votes, or by abstentions alone."""
     rng = np.random.default_rng(0)
-    counts, truth = collections.Counter(), {}
-    for _ in range(5000):
-        fault = int(rng.integers(1, 6)) if rng.random() < 0.2 else 0
-        vote = [2 if fault == k + 1 and rng.random() < 0.95 else 1 for k in range(quality_rules.N_RULES)]
+    counts, truth = collections.Counter(), collections.defaultdict(list)
+    for _ in range(20000):
+        fault = int(rng.integers(1, 5)) if rng.random() < 0.2 else 0
+        faint = fault and rng.random() < 0.3  # its rules see something but can't decide
+        vote = []
+        for k in range(quality_rules.N_RULES):
+            if fault == k // 3 + 1:
+                vote.append(0 if faint or rng.random() < 0.15 else 2)
+            else:
+                vote.append(int(rng.choice([0, 1, 2], p=[0.02, 0.95, 0.03])))
         p = sum(v * 3**k for k, v in enumerate(vote))
         counts[p] += 1
-        truth.setdefault(p, []).append(fault)
-    quality, _, _ = quality_rules.fit(counts)
-    for p, faults in truth.items():
-        assert (quality[p] >= 0.5) == (np.mean([f == 0 for f in faults]) >= 0.5)
+        truth[p].append(fault == 0)
+    quality, model, shares = quality_rules.fit(counts)
+    digits = {p: [p // 3**k % 3 for k in range(quality_rules.N_RULES)] for p in counts}
+    right = sum(counts[p] for p in counts for g in truth[p][:1] if (quality[p] >= 0.5) == (np.mean(truth[p]) >= 0.5))
+    assert right / sum(counts.values()) > 0.98
+    kept_despite = sum(n for p, n in counts.items() if 2 in digits[p] and quality[p] >= 0.5)
+    dropped_without = sum(n for p, n in counts.items() if 2 not in digits[p] and quality[p] < 0.5)
+    all_pass_wrong = sum(len(t) for p, t in truth.items() for t in [[g for g in t if g != (2 not in digits[p])]])
+    wrong = sum(len([g for g in t if g != (quality[p] >= 0.5)]) for p, t in truth.items())
+    assert kept_despite > 2000 and dropped_without > 300 and wrong < all_pass_wrong / 4
+    assert abs(shares[0] - 0.8) < 0.05 and (model[0, :, 2] < model[1, :, 2]).all()
+
+
+def test_quality_votes_on_texts(spark):
+    """From text to verdict: texts without sentence ends stay though one rule votes bad, since their other votes are good; symbols throughout do not."""
+    rng = random.Random(22)
+    rows = [(i, prose(rng, 120, 3000)) for i in range(400)]
+    rows += [(1000 + i, " ".join(w + "##" for w in prose(rng, 120, 3000).split())) for i in range(40)]
+    rows += [(2000 + i, "| ".join(prose(rng, 120, 3000).split())) for i in range(40)]
+    rows += [(3000 + i, prose(rng, 120, 3000).replace(".", ",")) for i in range(8)]  # no sentence ends: one rule's bad vote
+    got = {r["doc_id"]: r for r in rows_of(quality_rules.assess(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert all(r["kept"] == (i < 1000 or i >= 3000) for i, r in got.items())
+    assert all(100 * r["n_ended"] < r["n_words"] for i, r in got.items() if i >= 3000)
 
 
 def test_keep_good(docs):
