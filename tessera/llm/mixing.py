@@ -3,18 +3,20 @@
 1. Targets: sources in code point order (null last) get weights 3, 1, 2, repeating; ``SHARE`` times all words are shared by
    weight, a source stops at ``MOST`` times its size and its excess is shared again by weight (water filling).
 2. Schedule: slot i of ``BLOCK`` words lies at the golden-ratio point of i; the cumulated targets tell whose slot it is.
-   Slots are ranked per source. A source whose share of points fell short of its target by a slot or two gets the missing
-   ranks at the end of the schedule; slots beyond its target are left out; the last one is shortened to meet the target.
-3. Documents of a source are shuffled by a hash of their id and laid end to end, again and again as often as the target
-   needs. Cut into equal blocks, block number r joins the slot of rank r. A document is taken as often and as far as its
-   blocks have slots.
+   There are as many slots as the targets together fill, and a source gets those that fall to it: it is within a few
+   blocks of its target (``DEVIATION``), not on it. Slots are ranked per source.
+3. Documents of a source are shuffled by a hash of their id and laid end to end, ``MOST`` times. Cut into equal blocks,
+   block number r joins the slot of rank r. A document is taken as often and as far as its blocks have slots; slots past
+   the end of a source stay empty.
 
-Sizes, not texts, are shuffled for the schedule. Sources and chunks of slots or documents have a row each; a source that
-holds a third of all rows is ranked in chunks (``ranks.running``).
+Sizes, not texts, are shuffled for the schedule; ``mix`` then sends each distinct row's text through one shuffle to the
+places it takes, and through a second one if the corpus is to lie in order of slots. Sources and chunks of slots or
+documents have a row each; a source that holds a third of all rows is ranked in chunks (``ranks.running``).
 
 Defined cases: null text counts as no words; a document without words, or in a source without words, is taken 0 times;
 null is a source of its own; repeated rows are documents of their own; null ids are shuffled like any other value; ties of
-the hash are settled by id and size, and rows equal in these are interchangeable; an empty table gives an empty result;
+the hash are settled by id, size and a hash of the whole row; rows equal in all columns are copies of one another (by 64
+bits of hash beside doc_id); an empty table gives an empty result;
 other columns are ignored by ``taken`` and carried through by ``mix``.
 """
 
@@ -30,8 +32,11 @@ from .text import spare, word_count
 WEIGHTS = (3, 1, 2)
 SHARE_HALVES = 3  # 150 %
 MOST = 2
-BLOCK = 1024
-#: 2 ** 32 divided by the golden ratio: slot i lies at i * GOLDEN mod 2 ** 32. Slots repeat their points after 2 ** 31.
+BLOCK = 64
+#: Blocks by which a source may miss its target: the points' discrepancy, which grows with the logarithm of their number
+#: (below 5 at any of the first 2 ** 21 slots, for 60 random shares).
+DEVIATION = 8
+#: 2 ** 32 divided by the golden ratio: slot i lies at i * GOLDEN mod 2 ** 32. 2 ** 32 slots hit each point once, then begin again.
 GOLDEN, POINTS = 2654435769, 2**32
 SLOT_CHUNK, CELLS = 1 << 16, 1 << 10
 
@@ -61,80 +66,86 @@ def targets(sizes: DataFrame) -> DataFrame:
     return staged.select("source", "source_size", F.least(F.coalesce(water * F.col("weight"), cap.cast("double")), cap.cast("double")).alias("target"))
 
 
+def point(slot: Column) -> Column:
+    """slot * GOLDEN mod 2 ** 32, without leaving 64 bits."""
+    low, high = slot % 2**16, F.floor(slot / 2**16) % 2**16
+    return (low * GOLDEN + high * (GOLDEN * 2**16 % POINTS)) % POINTS
+
+
 def slots(of_sources: DataFrame) -> DataFrame:
-    """(slot, source, rank, words): the schedule. Ranks of a source count from 0 without gaps; words add up to its whole target."""
+    """(slot, source, rank): the schedule over (source, source_size, target). Ranks of a source count from 0 without gaps."""
     spark = of_sources.sparkSession
-    wanted = of_sources.select("source", F.floor("target").cast("long").alias("words")).where("words > 0")
-    n = wanted.agg(F.sum(F.ceil(F.col("words") / BLOCK))).first()[0] or 0
+    wanted = of_sources.select("source", "target").where("target > 0")
+    n = int(-(-(wanted.agg(F.sum("target")).first()[0] or 0) // BLOCK))
     upto = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    share = F.sum("words").over(upto) / F.sum("words").over(Window.partitionBy(F.lit(0)))
-    ends = wanted.withColumn("hi", F.round(share * POINTS).cast("long"))
+    share = F.sum("target").over(upto) / F.sum("target").over(Window.partitionBy(F.lit(0)))
+    ends = wanted.withColumn("hi", F.least(F.round(share * POINTS).cast("long"), F.lit(POINTS)))
     ends = ends.withColumn("lo", F.lag("hi", 1, 0).over(Window.partitionBy(F.lit(0)).orderBy("hi"))).where("hi > lo")
     wide = POINTS // CELLS
     cells = ends.select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / wide), F.floor((F.col("hi") - 1) / wide))).alias("cell"))
-    points = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") % 2**31) * GOLDEN % POINTS).alias("point"))
+    points = spark.range(n).select(F.col("id").alias("slot"), point(F.col("id")).alias("point"))
     owned = points.withColumn("cell", F.floor(F.col("point") / wide)).join(cells, "cell").where("point >= lo and point < hi")
     owned = owned.select("slot", "source", F.floor(F.col("slot") / SLOT_CHUNK).alias("chunk"))
-    ranked = running(owned, ["source"], "chunk", ["slot"], {"rank": (F.lit(1), "long")}).select("slot", "source", "rank")
-    got = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("got"))
-    short = beside(wanted, got, ["source"], "left").select("source", F.coalesce("got", F.lit(0)).alias("got"), F.ceil(F.col("words") / BLOCK).alias("need")).where("got < need")
-    missing = short.select(F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"), "source").select((F.lit(n) + F.col("rank")).alias("slot"), "source", "rank")
-    every = beside(ranked.unionByName(missing), wanted, ["source"])
-    last = F.least(F.lit(BLOCK), F.col("words") - F.col("rank") * BLOCK)
-    return every.where(last > 0).select("slot", "source", "rank", last.alias("words"))
+    return running(owned, ["source"], "chunk", ["slot"], {"rank": (F.lit(1), "long")}).select("slot", "source", "rank")
 
 
-def _laid_out(rows: DataFrame, n: int, by_source: DataFrame) -> DataFrame:
-    """Rows (doc_id, size, source, ...) with the words of their source laid before them, source_size and target."""
-    digest, number = order_hash(F.col("doc_id"))
-    keyed = rows.withColumn("__md5", digest).withColumn("__chunk", spread(number, n))
-    placed = running(keyed, ["source"], "__chunk", ["__md5", "doc_id", "size"], {"__start": (F.col("size"), "long")}).drop("__md5", "__chunk")
-    return beside(placed, by_source, ["source"])
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a hash of the whole row, and its name."""
+    (name,) = spare(docs, "__row")
+    return docs.withColumn(name, F.xxhash64(*[docs[c] for c in docs.columns])), name
 
 
 def pieces(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The mix itself, and the documents it is made of.
+    """The mix, and the documents it is made of.
 
-    First (slot, source, start, pass, size, from_word, words): in order of slot, words of the document that starts at
-    ``start`` in its source, in the given pass over it. Then the documents: doc_id, size, source, source_size, target, start. Documents with words are told
-    apart by (source, start).
+    First (source, start, pass, doc_id, row, size, slot, slots, words): the document that starts at ``start`` in its
+    source is taken in a pass over the source; from the block of ``slot`` on its first ``words`` words, in ``slots`` slots.
+    Then the documents: doc_id, row, size, source, source_size, target, start. Those with words are told apart by (source, start).
     """
-    sizes = scratch.store(docs.select("doc_id", "source", word_count(docs["text"]).alias("size")), "mix-sizes")
+    keyed, name = _keyed(docs)
+    sizes = scratch.store(keyed.select("doc_id", "source", F.col(name).alias("row"), word_count(docs["text"]).alias("size")), "mix-sizes")
     by_source = scratch.store(targets(sizes), "mix-sources")
-    placed = scratch.store(_laid_out(sizes, sizes.count(), by_source).withColumnRenamed("__start", "start"), "mix-placed")
-    again = placed.where("size > 0").select("source", "start", "size", "source_size", F.floor("target").cast("long").alias("most"), F.explode(F.lit([*range(MOST)])).alias("pass"))
-    at = F.col("start") + F.col("pass") * F.col("source_size")
-    runs = again.select("source", "start", "pass", "size", at.alias("lo"), F.least(at + F.col("size"), F.col("most")).alias("hi")).where("lo < hi")
+    digest, number = order_hash(F.col("doc_id"))
+    chunked = sizes.withColumn("__md5", digest).withColumn("__chunk", spread(number, sizes.count()))
+    laid = running(chunked, ["source"], "__chunk", ["__md5", "doc_id", "size", "row"], {"start": (F.col("size"), "long")}).drop("__md5", "__chunk")
+    placed = scratch.store(beside(laid, by_source, ["source"]), "mix-placed")
+    passes = placed.where("size > 0").select("source", "start", "size", "doc_id", "row", "source_size", F.explode(F.lit([*range(MOST)])).alias("pass"))
+    lo = F.col("start") + F.col("pass") * F.col("source_size")
+    runs = passes.select("source", "start", "pass", "size", "doc_id", "row", lo.alias("lo"), (lo + F.col("size")).alias("hi"))
     cut = runs.select("*", F.explode(F.sequence(F.floor(F.col("lo") / BLOCK), F.floor((F.col("hi") - 1) / BLOCK))).alias("rank"))
-    first, end = F.greatest("lo", F.col("rank") * BLOCK), F.least("hi", F.col("rank") * BLOCK + F.col("words"))
-    mixed = beside(cut, slots(by_source), ["source", "rank"]).select("slot", "source", "start", "pass", "size", (first - F.col("lo")).alias("from_word"), (end - first).alias("taken_words")).where("taken_words > 0")
-    return mixed.withColumnRenamed("taken_words", "words"), placed
+    words = F.least("hi", (F.col("rank") + 1) * BLOCK) - F.greatest("lo", F.col("rank") * BLOCK)
+    met = beside(cut, slots(by_source), ["source", "rank"])
+    got = met.groupBy("source", "start", "pass", "doc_id", "row", "size").agg(F.min("slot").alias("slot"), F.count(F.lit(1)).alias("slots"), F.sum(words).alias("words"))
+    return got, placed
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs(doc_id, text, source)``: size, source_size, target of its source, and words taken, repeats counted."""
-    mixed, placed = pieces(docs)
-    got = mixed.groupBy("source", "start").agg(F.sum("words").alias("taken"))
-    joined = beside(placed, got, ["source", "start"], "left")
-    return joined.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+    """Per row of ``docs(doc_id, text, source)``: size, source_size, target of its source, words taken, repeats counted, and its first slot and number of slots."""
+    got, placed = pieces(docs)
+    per = got.groupBy("source", "start").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.sum("slots").alias("slots"))
+    joined = beside(placed, per, ["source", "start"], "left")
+    counted = lambda name: F.when(F.col("size") > 0, F.coalesce(name, F.lit(0))).otherwise(0).cast("long").alias(name)
+    return joined.select("doc_id", "size", "source_size", "target", counted("taken"), F.when(F.col("size") > 0, F.col("first_slot")).alias("first_slot"), counted("slots"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, ordered: bool = True, slot: str | None = None) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row for each time a document is taken, whole or its first words.
 
-    What is taken is what the schedule's slots took. They cover the stream of a source from its start to its target, so
-    a pass over a document takes a prefix of it; the words of a prefix are joined by single spaces. The text travels
-    through two shuffles: to find its place in its source, and to meet its slots. n_chars follows the text.
+    ordered: rows lie in order of their first slots; else in any order, which saves a shuffle. slot: adds the first slot
+    under this name. The slots of a source cover its stream from the start on, so a pass over a document takes a prefix
+    of it; the words of a prefix are joined by single spaces. n_chars follows the text.
     """
-    mixed, sized = pieces(docs)
-    size, digest, chunk, start, passes, take = spare(docs, "__size", "__md5", "__chunk", "__start", "__passes", "__take")
-    per_pass = F.array(*[F.coalesce(F.sum(F.when(F.col("pass") == k, F.col("words"))), F.lit(0)) for k in range(MOST)])
-    taken_by = mixed.groupBy("source", "start").agg(per_pass.alias(passes)).withColumnRenamed("start", start)
-    md5, number = order_hash(docs["doc_id"])
-    keyed = docs.withColumn(size, word_count(docs["text"])).withColumn(digest, md5).withColumn(chunk, spread(number, sized.count()))
-    placed = running(keyed, ["source"], chunk, [digest, "doc_id", size], {start: (F.col(size), "long")})
-    rows = beside(placed.where(F.col(size) > 0), taken_by, ["source", start]).withColumn(take, F.explode(passes)).where(F.col(take) > 0)
+    got, _ = pieces(docs)
+    keyed, name = _keyed(docs)
+    take, size, first, held = spare(keyed, "__take", "__size", "__slot", "__held")
+    plan = got.select(F.col("row").alias(f"{name}_p"), F.col("doc_id").alias(f"{name}_d"), F.col("words").alias(take), F.col("size").alias(size), F.col("slot").alias(first))
+    # One of each row that repeats: it goes to all places that its repeats take.
+    one = keyed.groupBy(name, "doc_id").agg(F.first(F.struct(*docs.columns)).alias(held)).select(name, F.col("doc_id").alias(f"{name}_i"), held)
+    rows = one.join(plan, (F.col(name) == F.col(f"{name}_p")) & F.col(f"{name}_i").eqNullSafe(F.col(f"{name}_d")))
+    rows = rows.select(*[F.col(held)[c].alias(c) for c in docs.columns], take, size, first)
     words = F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
     text = F.when(F.col(take) == F.col(size), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col(take).cast("int")), " "))
     out = rows.withColumn("text", text)
-    return out.select(*[F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = out.orderBy(first) if ordered else out
+    kept = [F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return out.select(*kept, *([F.col(first).alias(slot)] if slot else []))

@@ -70,7 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
-    # Words a document gives are those of its place in the shuffled stream of its source, up to the source's target.
+    # Slots are points of the golden ratio; a source's slots take the stream of its shuffled documents from the start on.
     "op4_mixing": r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -85,14 +85,29 @@ WITH sizes AS (
   FROM weighted
 ), targets AS (
   SELECT source, source_size, least(coalesce(max(level) FILTER (level <= full_at) OVER () * weight, CAST(cap AS DOUBLE)), CAST(cap AS DOUBLE)) AS target FROM levels
+), shares AS (
+  SELECT source, round(sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / sum(target) OVER () * 4294967296) AS hi FROM targets WHERE target > 0
+), ends AS (
+  SELECT source, CAST(hi AS BIGINT) AS hi, CAST(lag(hi, 1, 0) OVER (ORDER BY hi) AS BIGINT) AS lo FROM shares
+), points AS (
+  SELECT i AS slot, (i % 65536 * 2654435769 + i // 65536 % 65536 * (2654435769 * 65536 % 4294967296)) % 4294967296 AS point
+  FROM (SELECT unnest(range(CAST(ceil(sum(target) / 64) AS BIGINT))) AS i FROM targets)
+), slots AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM points JOIN ends ON point >= lo AND point < hi
+), many AS (
+  SELECT source, count(*) AS n FROM slots GROUP BY source
 ), placed AS (
   SELECT doc_id, size, source,
          CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM sizes
+), cut AS (
+  SELECT p.*, t.source_size, t.target, 64 * coalesce(m.n, 0) AS till, least(start + size, till) AS hi, least(start + source_size + size, till) AS hi2, start + source_size AS lo2
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN many m ON p.source IS NOT DISTINCT FROM m.source
 )
-SELECT p.doc_id, p.size, t.source_size, t.target,
-       CAST(greatest(0, least(p.size, floor(t.target) - p.start)) + greatest(0, least(p.size, floor(t.target) - p.start - t.source_size)) AS BIGINT) AS taken
-FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+SELECT c.doc_id, c.size, c.source_size, c.target, CAST(greatest(0, hi - start) + greatest(0, hi2 - lo2) AS BIGINT) AS taken,
+       CASE WHEN hi > start THEN s.slot END AS first_slot,
+       CAST(CASE WHEN hi > start THEN (hi - 1) // 64 - start // 64 + 1 ELSE 0 END + CASE WHEN hi2 > lo2 THEN (hi2 - 1) // 64 - lo2 // 64 + 1 ELSE 0 END AS BIGINT) AS slots
+FROM cut c LEFT JOIN slots s ON c.source IS NOT DISTINCT FROM s.source AND s.rank = c.start // 64
 """,
     "op5_topk": """
 WITH v AS (

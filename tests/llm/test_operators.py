@@ -246,31 +246,71 @@ def test_components(spark):
 
 
 def test_mixing(docs):
-    got, mixed = rows_of(mixing.taken(docs)), mixing.mix(docs)
+    got, mixed = rows_of(mixing.taken(docs)), mixing.mix(docs, slot="at")
     total = sum(r["size"] for r in got)
-    assert len(got) == docs.count() and abs(sum(r["taken"] for r in got) - 1.5 * total) < 5
+    near = 3 * mixing.BLOCK  # so few slots stay well below DEVIATION
+    assert len(got) == docs.count()
     assert all(r["taken"] <= 2 * r["size"] and r["target"] <= 2 * r["source_size"] for r in got)
-    by_source = collections.defaultdict(list)
+    assert all((r["slots"] > 0) == (r["taken"] > 0) == (r["first_slot"] is not None) for r in got)
+    by_source, goal = collections.defaultdict(list), {}
     for r in got:
         by_source[r["source_size"], r["target"]].append(r["taken"])
-    assert all(abs(sum(t) - target) <= 1 or size == 0 for (size, target), t in by_source.items())
-    assert mixed.columns == docs.columns
-    words = sum(len((r["text"] or "").encode().split()) for r in mixed.select("text").collect())
-    assert words == sum(r["taken"] for r in got)
-    key = lambda r: (str(r["doc_id"]), r["size"], r["taken"])
+        goal[r["source_size"]] = r["target"]
+    assert abs(sum(goal.values()) - 1.5 * total) < 5
+    assert all(abs(sum(t) - target) <= near or size == 0 for (size, target), t in by_source.items())
+    assert mixed.columns == [*docs.columns, "at"]
+    rows = mixed.collect()
+    assert sum(len((r["text"] or "").encode().split()) for r in rows) == sum(r["taken"] for r in got)
+    assert [r["at"] for r in rows] == sorted(r["at"] for r in rows)
+    assert mixing.mix(docs, ordered=False).columns == docs.columns
+    key = lambda r: (str(r["doc_id"]), r["size"], r["taken"], str(r["first_slot"]), r["slots"])
     assert sorted(map(key, rows_of(mixing.taken(docs.repartition(3))))) == sorted(map(key, got))
 
 
-def test_mix_schedule_is_even(spark):
-    """Any stretch of slots holds each source in about its share."""
+def test_mix_schedule(spark):
+    """Slots are where the golden ratio puts them; any stretch of them holds each source in about its share."""
     of = spark.createDataFrame([("a", 10**6, 6e5), ("b", 10**6, 3e5), (None, 10**6, 1e5)], "source string, source_size long, target double")
     slots = mixing.slots(of).orderBy("slot").collect()
+    assert [r["slot"] for r in slots] == [*range(-(-(10**6) // mixing.BLOCK))]
+    for r in slots:
+        at = r["slot"] * mixing.GOLDEN % 2**32 / 2**32
+        assert r["source"] == ("a" if at < 0.6 - 1e-9 else "b" if at < 0.9 - 1e-9 else None) or min(abs(at - 0.6), abs(at - 0.9)) < 1e-8
     for at in range(0, len(slots) - 100, 100):
         seen = collections.Counter(r["source"] for r in slots[at : at + 100])
         assert abs(seen["a"] - 60) <= 3 and abs(seen["b"] - 30) <= 3
     for s, words in (("a", 600_000), ("b", 300_000), (None, 100_000)):
         mine = [r for r in slots if r["source"] == s]
-        assert sorted(r["rank"] for r in mine) == [*range(len(mine))] and sum(r["words"] for r in mine) == words
+        assert [r["rank"] for r in mine] == [*range(len(mine))] and abs(len(mine) * mixing.BLOCK - words) <= mixing.DEVIATION * mixing.BLOCK
+
+
+def test_mix_deviation():
+    """No source of any size misses its share of the slots by more than the stated number of blocks, nor do points break 64 bits."""
+    n = 1 << 21
+    points = np.arange(n, dtype=np.uint64) * np.uint64(mixing.GOLDEN) % np.uint64(2**32)
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        lo, hi = np.sort(rng.integers(0, 2**32, 2))
+        seen = np.cumsum((points >= lo) & (points < hi))
+        want = (np.arange(n) + 1) * ((hi - lo) / 2**32)
+        assert np.abs(seen - want).max() < mixing.DEVIATION
+
+
+def test_mix_follows_schedule(docs, monkeypatch):
+    """Other points give another mix."""
+    before = {(r["doc_id"], r["first_slot"], r["taken"]) for r in rows_of(mixing.taken(docs))}
+    monkeypatch.setattr(mixing, "GOLDEN", 2**31 + 12345)
+    assert before != {(r["doc_id"], r["first_slot"], r["taken"]) for r in rows_of(mixing.taken(docs))}
+
+
+def test_mix_repeated_rows(spark):
+    """Repeats and rows of one id with other texts each keep their own place, text and columns."""
+    rows = [(7, f"w{k % 3} " * 100, "s", k % 3) for k in range(30)] + [(None, "n " * 100, "s", 9)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, more int")
+    want = sum(r["taken"] for r in rows_of(mixing.taken(df)))
+    got = rows_of(mixing.mix(df))
+    assert sum(len(r["text"].split()) for r in got) == want
+    assert all({*r["text"].split()} == {"n" if r["doc_id"] is None else f"w{r['more']}"} for r in got)
+    assert collections.Counter(r["more"] for r in got if len(r["text"].split()) == 100).keys() >= {0, 1, 2, 9}
 
 
 def test_packing(docs):

@@ -68,16 +68,21 @@ def brute_mix(docs, source):
         full.update(over)
         left -= sum(2 * total[s] for s in over)
     for s in names:
-        target[s] = math.floor(2 * total[s] if s in full else level * weight[s])
+        target[s] = 2 * total[s] if s in full else level * weight[s]
+    whole, edge, at = sum(target.values()), 0, {}
+    for s in names:
+        at[s] = round(edge * 2**32), round((edge + target[s] / whole) * 2**32)
+        edge += target[s] / whole
+    slots = collections.Counter(s for i in range(math.ceil(whole / 64)) for s in names if at[s][0] <= i * 2654435769 % 2**32 < at[s][1])
     out = []
     for s in names:
-        at = 0
+        start = 0
         for i in sorted((i for i in docs if source[i] == s), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
             for k in range(2):
-                take = min(size[i], target[s] - at - k * total[s])
+                take = min(size[i], 64 * slots[s] - start - k * total[s])
                 if take > 0:
                     out.append((i, docs[i] if take == size[i] else b" ".join(docs[i].encode().split()[:take]).decode()))
-            at += size[i]
+            start += size[i]
     return out
 
 
