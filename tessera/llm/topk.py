@@ -1,9 +1,9 @@
 """Exact top-k by integer inner product: tiled matrix products, partial selection per tile, tree merging.
 
 Vectors become floor(scale * x) and are packed into blocks: ``QUERY_ROWS`` queries or ``SHARD_ROWS`` candidates to a row.
-Each query block meets each shard once; a tile is one matrix product, from which only k entries per query leave. Tiles of
-one query block and neighbouring shards that run in one task merge there; lists of a query are then merged ``FAN_IN`` at
-a time, level by level, so no task gathers more than FAN_IN * k entries of a query. Products are taken in float32 or
+Each query block meets each shard once; a tile is one matrix product, from which only k entries per query leave. A task's
+share is ``GROUP_QUERIES`` query blocks against ``GROUP_SHARDS`` shards, where the tiles of a query merge; its lists are
+then merged ``FAN_IN`` at a time, level by level, so no task gathers more than FAN_IN * k entries of a query. Products are taken in float32 or
 float64 where the largest possible sum is exact in it, else in Python integers.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; only vectors of equal length are
@@ -23,28 +23,17 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-QUERY_ROWS, SHARD_ROWS, GROUP_SHARDS, FAN_IN = 2048, 8192, 8, 64
+QUERY_ROWS, SHARD_ROWS, GROUP_QUERIES, GROUP_SHARDS, FAN_IN = 2048, 2048, 4, 4, 64
 _OWN = -(2**63)
 
 
-def _quantise(scale: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, dims, raw = [], [], []
-            for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if vec_id is None or vector is None or None in vector:
-                    continue
-                x = np.floor(np.array(vector, dtype=np.float64) * scale)
-                if not np.isfinite(x).all():
-                    continue
-                if len(x) and np.abs(x).max() >= 2**62:
-                    raise ValueError(f"vector {vec_id} is too large for integer scores")
-                ids.append(vec_id)
-                dims.append(len(x))
-                raw.append(x.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], names=["vec_id", "dim", "v"])
-
-    return run
+def quantised(vectors: DataFrame, scale: float) -> DataFrame:
+    """(vec_id, dim, v) of the rows of ``vectors(vec_id, embedding)`` that take part; v holds floor(scale * x)."""
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    whole = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", odd))
+    too_large = F.raise_error(F.concat(F.lit("vector "), F.col("vec_id").cast("string"), F.lit(" is too large for integer scores"))).cast("long")
+    v = F.transform("embedding", lambda x: F.when(F.abs(x * scale) < 2.0**62, F.floor(x * scale)).otherwise(too_large))
+    return whole.select("vec_id", F.size("embedding").alias("dim"), v.alias("v"))
 
 
 def _pack(table: pa.Table) -> pa.Table:
@@ -52,7 +41,7 @@ def _pack(table: pa.Table) -> pa.Table:
     table = table.sort_by("vec_id")
     one = {name: table.column(name)[0].as_py() for name in ("dim", "block")}
     ids = table.column("vec_id").to_numpy().astype("<i8")
-    return pa.table({"dim": pa.array([one["dim"]], pa.int32()), "block": pa.array([one["block"]], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "m": pa.array([b"".join(table.column("v").to_pylist())], pa.binary())})
+    return pa.table({"dim": pa.array([one["dim"]], pa.int32()), "block": pa.array([one["block"]], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "m": pa.array([table.column("v").combine_chunks().flatten().to_numpy().astype("<i8").tobytes()], pa.binary())})
 
 
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +59,8 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
             raise OverflowError("a score exceeds 64 bits")
         s = s.astype(np.int64)
         s[own] = _OWN
-        if most < 2**48:  # score and place in one number: ties fall to the smaller id, and no two are equal
-            key = np.where(s == _OWN, _OWN, s * SHARD_ROWS * 2) + (len(c) - 1 - np.arange(len(c)))
+        if most * len(c) < 2**62:  # score and place in one number: ties fall to the smaller id, and no two are equal
+            key = np.where(s == _OWN, _OWN, s * len(c)) + (len(c) - 1 - np.arange(len(c)))
             best = np.argpartition(-1 - key, k - 1, axis=1)[:, :k]
             order = np.argsort(-1 - np.take_along_axis(key, best, 1), axis=1)
             best = np.take_along_axis(best, order, 1)
@@ -121,7 +110,7 @@ def _tiles(k: int):
 def top_k(vectors: DataFrame, asked: Column, k: int, scale: float = 64.0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``vectors`` for which ``asked`` (over column vec_id) holds."""
     source = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
-    rows = source.mapInArrow(_quantise(scale), "vec_id long, dim int, v binary").withColumn("row", F.monotonically_increasing_id())
+    rows = quantised(source, scale).withColumn("row", F.monotonically_increasing_id())
     rows = scratch.store(rows, "topk-rows")
     n = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(asked, 1)).alias("asked"))
     total = n.agg(F.max("n").alias("n"), F.max("asked").alias("asked")).first()
@@ -129,9 +118,11 @@ def top_k(vectors: DataFrame, asked: Column, k: int, scale: float = 64.0, vec_id
     packed = "dim int, block long, ids binary, m binary"
     deal = lambda df, many: df.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(many))).select("vec_id", "dim", "v", "block").groupBy("dim", "block").applyInArrow(_pack, packed)
     candidates = deal(rows, shards).withColumn("part", F.floor(F.col("block") / GROUP_SHARDS)).drop("block")
-    parts = -(-shards // GROUP_SHARDS)
-    queries = deal(rows.where(asked), blocks).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    found = queries.join(candidates, ["dim", "part"]).mapInArrow(_tiles(k), "query_id long, asked string, part long, top array<struct<worse:bigint,vec_id:bigint>>")
+    parts, sides = -(-shards // GROUP_SHARDS), -(-blocks // GROUP_QUERIES)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    queries = deal(rows.where(asked), blocks).select("dim", F.col("block").alias("q_block"), F.floor(F.col("block") / GROUP_QUERIES).alias("side"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), every(parts).alias("part"))
+    candidates = candidates.withColumn("side", every(sides))
+    found = queries.join(candidates, ["dim", "part", "side"]).drop("side").mapInArrow(_tiles(k), "query_id long, asked string, part long, top array<struct<worse:bigint,vec_id:bigint>>")
     while True:
         found = found.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("query_id", "asked", "part").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
         if parts <= FAN_IN:

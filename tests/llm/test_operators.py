@@ -356,7 +356,11 @@ def test_packing_plan():
             assert sorted(left.values()) == sorted(room)
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("sizes", [{}, {"QUERY_ROWS": 4, "SHARD_ROWS": 10, "GROUP_QUERIES": 2, "GROUP_SHARDS": 3, "FAN_IN": 3}])
+def test_top_k(spark, monkeypatch, sizes):
+    """In one tile; and over several parts, groups of queries and levels of merging."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 8)).round(1)
     x[50:120] = x[50]
