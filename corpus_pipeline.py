@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often and as far as the mix of sources takes them: a row for each time."""
-    return mixing.mix(docs)
+    """Documents as often and as far as the mix of sources takes them: a row for each time. Packing needs no order of slots."""
+    return mixing.mix(docs, ordered=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
