@@ -45,7 +45,7 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"]
     return warc.round_trip(table(spark, sf_dir, "pages")).select(*columns)
 
 
@@ -128,7 +128,7 @@ WITH p AS (
   SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p
 )
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to, TRUE AS intact
 FROM f
 """,
     "op9_line_dedup": r"""

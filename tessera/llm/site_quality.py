@@ -33,7 +33,7 @@ def features(s: Column) -> list[Column]:
     part = lambda a, b, top: F.least(s[a] / F.greatest(s[b], F.lit(1)), F.lit(top)) / top
     return [
         F.least(F.log1p(s["n_words"]) / 10, F.lit(1.0)), part("word_chars", "n_words", 12.0), part("n_symbols", "word_chars", 0.1), part("n_dup_lines", "n_lines", 0.5),
-        part("n_repeat_words", "n_words", 0.5), part("n_upper", "word_chars", 0.3), part("n_shouted", "n_words", 0.2), F.pow(part("n_distinct", "n_words", 1.0), 2),
+        part("n_repeat_words", "n_words", 0.5), part("n_upper", "word_chars", 0.3), part("n_loud", "n_words", 0.2), part("n_echoes", "n_words", 1.0),
     ]
 
 
@@ -83,7 +83,7 @@ def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, train_
     if len(y) and 0 < y.sum() < len(y):
         w = fit(np.array([r[2:] for r in sample]), y)
     else:
-        w = np.zeros(9)
+        w = np.zeros(len(features(s)) + 1)
         w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     odds = sum((F.col("x")[i] * float(v) for i, v in enumerate(w[1:])), F.lit(float(w[0])))
     p = 1 / (1 + F.exp(-F.least(F.greatest(odds, F.lit(-12.0)), F.lit(12.0))))

@@ -458,16 +458,116 @@ def test_toxicity(spark, docs, labels):
     assert {r["score"] for r in none} == {0.0}
 
 
+def small_network(words, seed=3):
+    net = toxicity.Network.fresh({w: i for i, w in enumerate(words, 1)}, np.linspace(-1, 1, len(words)).astype(np.float32), seed)
+    rng = np.random.default_rng(seed)
+    for name in ("E", "C", "v", "w", "A"):  # away from the flat start
+        net.p[name] = (net.p[name] * 3 + rng.standard_normal(net.p[name].shape) * 0.2).astype(np.float32)
+    net.p["E"][0] = 0
+    return net
+
+
+def test_toxicity_forward():
+    """A window's logit number by number: projections, both gated recurrences, attention, output."""
+    words = [f"word{k}".encode() for k in range(12)]
+    net = small_network(words[:9])
+    p, H = net.p, toxicity.HIDDEN
+    text = " ".join(w.decode() for w in (*words, words[2]))
+    logits, _, (read,) = toxicity.Scorer(net).window_logits([text])
+    x = net.rows(read)[0].astype(float)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    states = {}
+    for d in "fb":
+        h, seen = [0.0] * H, {}
+        for t in range(len(read)) if d == "f" else reversed(range(len(read))):
+            g = [float(p[f"b{d}"][j]) + sum(x[t][i] * float(p[f"W{d}"][i, j]) for i in range(x.shape[1])) for j in range(3 * H)]
+            u = [sum(h[i] * float(p[f"U{d}"][i, j]) for i in range(H)) for j in range(3 * H)]
+            z, r = [sigmoid(g[j] + u[j]) for j in range(H)], [sigmoid(g[H + j] + u[H + j]) for j in range(H)]
+            c = [math.tanh(g[2 * H + j] + r[j] * u[2 * H + j]) for j in range(H)]
+            h = [z[j] * h[j] + (1 - z[j]) * c[j] for j in range(H)]
+            seen[t] = h
+        states[d] = seen
+    both = [states["f"][t] + states["b"][t] for t in range(len(read))]
+    pull = [sum(float(p["v"][k]) * math.tanh(float(p["a"][k]) + sum(s[i] * float(p["A"][i, k]) for i in range(2 * H))) for k in range(len(p["v"]))) for s in both]
+    share = np.exp(pull) / np.exp(pull).sum()
+    pooled = [sum(share[t] * both[t][i] for t in range(len(read))) for i in range(2 * H)]
+    want = float(p["o"][0]) + sum(pooled[i] * float(p["w"][i]) for i in range(2 * H))
+    assert len(logits) == 1 and logits[0] == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_toxicity_gradients():
+    """Each parameter's gradient against differences of the loss."""
+    rng = np.random.default_rng(5)
+    words = [b"", *(f"w{k}".encode() for k in range(14))]
+    net = small_network(words[1:10])
+    at, mask = rng.integers(1, len(words), (6, 9)), np.ones((6, 9), np.float32)
+    mask[1, 4:], mask[3, 1:] = 0, 0
+    at[mask == 0] = 0
+    label = np.array([1, 0, 1, 0, 0, 1])
+
+    def loss():
+        z = net.forward(net.project(net.rows(words)[0]), at, mask).astype(float)
+        return np.mean(np.logaddexp(0, z) - label * z)
+
+    grads = net.gradients(words, at, mask, label)
+    for name, g in grads.items():
+        way = rng.standard_normal(g.shape).astype(np.float32) * (np.abs(g) > 0)
+        way /= np.linalg.norm(way)
+        kept, sides = net.p[name].copy(), []
+        for sign in (1, -1):
+            net.p[name] = kept + np.float32(sign * 0.02) * way
+            sides.append(loss())
+        net.p[name] = kept
+        assert (sides[0] - sides[1]) / 0.04 == pytest.approx(float((g * way).sum()), rel=0.03, abs=2e-5), name
+
+
+def test_toxicity_windows():
+    """Windows cover every word, overlap, and a text's score is that of its worst window alone."""
+    for n in (0, 1, 47, 48, 49, 80, 81, 200, 1000):
+        begins = toxicity.windows(n)
+        assert begins[0] == 0 and {i for b in begins for i in range(b, min(b + toxicity.WINDOW, n))} == {*range(n)}
+        assert all(np.diff(begins) < toxicity.WINDOW)
+    words = [f"w{k}".encode() for k in range(30)]
+    net = small_network(words[:20])
+    rng = random.Random(2)
+    text = " ".join(rng.choice(words).decode() for _ in range(300))
+    whole, parts = toxicity.Scorer(net).scores([text])[0], text.split()
+    alone = [toxicity.Scorer(net).scores([" ".join(parts[b : b + toxicity.WINDOW])])[0] for b in toxicity.windows(300)]
+    assert whole == pytest.approx(max(alone), abs=1e-5)
+
+
 def test_site_quality(spark, docs, labels):
-    rows = [(i, ("good words here " if i % 2 else "JUNK!! ") + prose(random.Random(i), 80), f"h{i % 2}", f"p{i % 4}") for i in range(200)]
+    """Shrinkage and posterior recomputed from the evidence, with sparse, single and null sites."""
+    site = lambda i: ("single", "x") if i == 0 else (None, None) if i < 4 else ("sparse", f"p{i}") if i < 8 else (f"h{i % 3}", f"p{i % 12}")
+    good = lambda i: int(random.Random(i + 900).random() < 0.35 + 0.15 * (i % 3))
+    rows = [(i, ("good words here " if good(i) else "JUNK!! " * (i % 7)) + prose(random.Random(i), 80), *site(i)) for i in range(240)]
     df = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
-    got = rows_of(site_quality.score(df, spark.createDataFrame([(i, i % 2) for i in range(0, 200, 3)], "doc_id long, quality int"), F.col("host"), F.col("path")))
-    by_host = {h: np.mean([r["evidence"] for r in got if r["doc_id"] % 2 == h]) for h in (0, 1)}
-    for r in got:
-        assert abs(r["host_quality"] - np.mean([*by_host.values()])) <= abs(by_host[r["doc_id"] % 2] - np.mean([*by_host.values()])) + 1e-9
-        p, path, overall = r["evidence"], r["path_quality"], np.mean([x["evidence"] for x in got])
-        odds = math.log(max(p, 1e-6) / max(1 - p, 1e-6)) + math.log(path / (1 - path)) - math.log(overall / (1 - overall))
-        assert r["quality"] == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-6)
+    got = {r["doc_id"]: r for r in rows_of(site_quality.score(df, spark.createDataFrame([(i, good(i)) for i in range(0, 240, 5)], "doc_id long, quality int"), F.col("host"), F.col("path")))}
+    e = {i: r["evidence"] for i, r in got.items()}
+    overall = np.mean([*e.values()])
+
+    def strength(groups, above):
+        n, k = sum(map(len, groups)), len(groups)
+        noise = sum(((np.array(g) - np.mean(g)) ** 2).sum() for g in groups) / (n - k)
+        spread = sum(len(g) * (np.mean(g) - m) ** 2 for g, m in zip(groups, above, strict=True))
+        tau = (spread - (k - 1) * noise) / (n - sum(len(g) ** 2 for g in groups) / n)
+        return min(max(noise / tau, 1.0), site_quality.MOST_PSEUDO) if tau > 0 else site_quality.MOST_PSEUDO
+
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for i in e:
+        hosts[site(i)[0]].append(e[i])
+        paths[site(i)].append(e[i])
+    by_host = strength([*hosts.values()], [overall] * len(hosts))
+    by_path = strength([*paths.values()], [np.mean(hosts[h]) for h, _ in paths])
+    assert 1 < by_host < site_quality.MOST_PSEUDO, (by_host, by_path)
+    for i, r in got.items():
+        h, s = hosts[site(i)[0]], paths[site(i)]
+        host = (by_host * overall + sum(h)) / (by_host + len(h))
+        path = (by_path * host + sum(s) - e[i]) / (by_path + len(s) - 1)
+        assert r["host_quality"] == pytest.approx(host, rel=1e-6) and r["path_quality"] == pytest.approx(min(max(path, 1e-6), 1 - 1e-6), rel=1e-6)
+        own = min(max(e[i], 1e-6), 1 - 1e-6)
+        odds = math.log(own / (1 - own)) + math.log(path / (1 - path)) - math.log(overall / (1 - overall))
+        assert r["quality"] == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-6) and r["kept"] == (r["quality"] >= 0.5)
     odd = rows_of(site_quality.score(docs, labels, docs["source"], docs["lang"]))
     assert len(odd) == docs.count() and all(0 <= r["quality"] <= 1 for r in odd)
 
