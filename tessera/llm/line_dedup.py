@@ -64,7 +64,7 @@ def removals(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` cut, and with n_lines and n_removed_lines (long) added."""
+    """``docs`` with ``text`` cut, and with n_lines and n_removed_lines (long) added unless it has columns so named in any case."""
     text_hash, ranges, other_hash, other_id, lines = spare(docs, "__h", "__ranges", "__h2", "__id2", "__lines")
     cut = removals(docs).select(F.col("doc_id").alias(other_id), F.col("text_hash").alias(other_hash), F.col("ranges").alias(ranges))
     keyed = docs.withColumn(text_hash, F.xxhash64("text"))
@@ -77,7 +77,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     joined = joined.withColumn(lines, F.split("text", "\n", -1)).withColumn(kept_name, F.when(r.isNull(), all_lines).otherwise(kept))
     columns = [F.when(r.isNull(), F.col("text")).otherwise(F.array_join(F.col(kept_name), "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     counts = [F.coalesce(F.size(lines).cast("long"), F.lit(0)).alias("n_lines"), F.coalesce((F.size(lines) - F.size(kept_name)).cast("long"), F.lit(0)).alias("n_removed_lines")]
-    return joined.select(*columns, *[c for c, name in zip(counts, ("n_lines", "n_removed_lines"), strict=True) if name not in docs.columns])
+    return joined.select(*columns, *[c for c, name in zip(counts, ("n_lines", "n_removed_lines"), strict=True) if name not in [c.lower() for c in docs.columns]])
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:

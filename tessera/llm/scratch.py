@@ -2,7 +2,8 @@
 
 A step whose result is read more than once, or that a later step must be able to re-read after losing executors, is
 written as Parquet below the shared folder the cluster names in ``spark.checkpoint.dir``. Nothing is kept on an
-executor's own disk. A folder of this process is used only where that setting is missing, as in tests.
+executor's own disk. A folder of this process is used only where that setting is missing and driver and executors are one
+process, as in tests; on a cluster without the setting, an error is raised.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ def folder(spark: SparkSession) -> str:
     """The shared folder of this application's intermediate tables."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/scratch/{spark.sparkContext.applicationId}"

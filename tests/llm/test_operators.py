@@ -113,6 +113,8 @@ def test_line_dedup(spark, docs):
     a = spark.createDataFrame([(1, "a\nb\nc\nd\n\ne"), (2, "x\nb\nc\n\nd\ny"), (3, "q"), (4, None), (5, ""), (None, "a\nb\nc\nd\nz"), (6, "m\nm\nm\nm\nm"), (2, "x\nb\nc\n\nd\ny")], "doc_id long, text string")
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["n_removed_lines"]) for r in rows_of(line_dedup.dedup_lines(a))), key=str)
     assert got == sorted([(False, 1, "a\nb\nc\nd\n\ne", 0), (False, 2, "x\ny", 4), (False, 2, "x\ny", 4), (False, 3, "q", 0), (False, 4, None, 0), (False, 5, "", 0), (True, 0, "z", 4), (False, 6, "m", 4)], key=str)
+    clash = line_dedup.dedup_lines(a.withColumn("N_Lines", F.lit("mine")))
+    assert clash.columns == ["doc_id", "text", "N_Lines", "n_removed_lines"] and {r["N_Lines"] for r in rows_of(clash)} == {"mine"}
     cut = line_dedup.cut_documents(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
 
