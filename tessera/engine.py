@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import copy
+import re
 import threading
 import time
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import retrieval
 from .errors import DuplicateError, MaintenanceError, SqlBindingError, SqlQueryError, SqlUnknownColumnError, SqlUnknownTableError, TransactionError
 from .functions import geo
 from .locks import Locks
@@ -39,24 +42,49 @@ class Result:
         return [tuple(r) for r in rows]
 
 
+# Names and endings of registered media, by kind.
+MEDIA_KEY, LONGEST_KEY = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*"), 128
+MEDIA_ENDINGS = {"image": (".jpg", ".jpeg", ".png"), "audio": (".wav", ".mp3")}
+
+
+def media_kind(key: str, expected: str | None = None) -> str:
+    """image or audio; refuses keys that are not plain file names of the kind expected."""
+    if len(key) > LONGEST_KEY or not MEDIA_KEY.fullmatch(key) or ".." in key:
+        raise SqlBindingError(f"a media key is a file name of at most {LONGEST_KEY} letters, digits, '.', '_' and '-', without '..'")
+    kind = next((k for k, endings in MEDIA_ENDINGS.items() if key.lower().endswith(endings)), None)
+    if kind is None or expected not in (None, kind):
+        raise SqlBindingError(f"media {key} is not {expected or 'image or audio'}")
+    return kind
+
+
 @dataclass
 class Media:
-    """Vectors of a media table: (id, vector) and a media key per row of ``keys`` (key, id)."""
+    """Vectors of a media table: (id, vector) and a media key per row of ``keys`` (key, id). Indexes are built once, in ``folder`` if given."""
 
     id_column: str
     vectors: DataFrame
     keys: DataFrame
-    ivf: dict = field(default_factory=dict)
+    kind: str | None = None
+    folder: str | None = None
+    indexes: dict = field(default_factory=dict)
+
+    def index(self, kind: str, metric: str) -> vectors.IvfIndex | vectors.HnswIndex:
+        if (kind, metric) not in self.indexes:
+            at = self.folder and f"{self.folder}/{kind}-{metric}-{uuid.uuid4().hex}"
+            if kind == "HNSW":
+                built = vectors.HnswIndex.build(self.vectors, metric, at)
+            else:
+                built = vectors.IvfIndex.build(self.vectors, metric)
+                built = built.save(at) if at else replace(built, rows=built.rows.persist())
+            self.indexes[kind, metric] = built
+        return self.indexes[kind, metric]
 
     def search(self, w: ast.Similar, limit: int) -> DataFrame:
+        media_kind(w.key, self.kind)
         row = self.keys.where(F.col("key") == w.key).join(self.vectors, "id").select("vector").first()
         if row is None:
             raise SqlBindingError(f"media {w.key} is not registered")
-        if w.index == "HNSW":
-            return vectors.hnsw(self.vectors, row["vector"], limit, w.metric)
-        if w.metric not in self.ivf:
-            self.ivf[w.metric] = vectors.IvfIndex.build(self.vectors, w.metric)
-        return self.ivf[w.metric].search(row["vector"], limit)
+        return self.index(w.index, w.metric).search(row["vector"], limit)
 
 
 class Engine:
@@ -81,11 +109,37 @@ class Engine:
         self.registered[table].text[text_column] = (index, id_column)
         return index
 
-    def publish_media(self, table: str, id_column: str, vector_rows: DataFrame, key_column: str = "media_key") -> None:
-        """vector_rows: (id, vector). The table's ``key_column`` names the media of a row."""
+    def publish_media(self, table: str, id_column: str, vector_rows: DataFrame, key_column: str = "media_key", kind: str | None = None) -> None:
+        """vector_rows: (id, vector). The table's ``key_column`` names the media of a row, all of one ``kind`` (image, audio) if given.
+
+        An index is built when a search first asks for it, and kept: in the engine's folder, or in memory where it has none.
+        """
         vectors.check_collection(vector_rows)
-        frame = self.registered[table].frame
-        self.registered[table].media = Media(id_column, vector_rows, frame.select(F.col(key_column).alias("key"), F.col(id_column).alias("id")))
+        keys = self.registered[table].frame.select(F.col(key_column).alias("key"), F.col(id_column).alias("id"))
+        endings = [e for k, group in MEDIA_ENDINGS.items() if kind in (None, k) for e in group]
+        named = F.col("key").rlike(f"^{MEDIA_KEY.pattern}$") & ~F.col("key").contains("..") & (F.char_length("key") <= LONGEST_KEY)
+        wrong = keys.where(~F.coalesce(named & F.lower("key").rlike("(" + "|".join(map(re.escape, endings)) + ")$"), F.lit(False))).first()
+        if wrong is not None:
+            media_kind(wrong["key"] or "", kind)
+        folder = f"{self.store.folder}/.indexes/{table}" if self.store else None
+        self.registered[table].media = Media(id_column, vector_rows, keys, kind, folder)
+
+    def vector_search(self, table: str, query: list[float] | str, k: int, index: str = "EXACT", metric: str = "cosine") -> DataFrame:
+        """(id, score) nearest to a vector or to the media of a key; index: EXACT, IVF or HNSW."""
+        media = self.registered[table].media
+        if media is None:
+            raise SqlBindingError(f"{table} is not a media collection")
+        if isinstance(query, str):
+            row = media.keys.where(F.col("key") == query).join(media.vectors, "id").select("vector").first()
+            if row is None:
+                raise SqlBindingError(f"media {query} is not registered")
+            query = row["vector"]
+        return vectors.exact(media.vectors, query, k, metric) if index == "EXACT" else media.index(index, metric).search(query, k)
+
+    def retrieve(self, chunk_table: str, paper_table: str, question: str, top: int = retrieval.TOP) -> DataFrame:
+        """Passages for a question from a table (chunk_id, paper_id, position, content) whose text is published, with their paper's columns."""
+        index, _ = self.registered[chunk_table].text["content"]
+        return retrieval.retrieve(index, self.registered[chunk_table].frame, self.registered[paper_table].frame, question, top)
 
     def session(self) -> Session:
         return Session(self)
@@ -94,9 +148,16 @@ class Engine:
         """One statement, on its own."""
         return self.session().sql(text, parameters, strategy)
 
-    def text_search(self, table: str, column: str, query: str, model: str = "BM25", limit: int | None = 10) -> DataFrame:
+    def text_search(self, table: str, column: str, query: str, model: str = "BM25", limit: int | None = 10, order: str = "score_desc") -> DataFrame:
+        """(id, score); order: score_desc, score_asc (ties by id), id_asc or id_desc."""
+        if order not in ("score_desc", "score_asc", "id_asc", "id_desc"):
+            raise SqlBindingError(f"no order {order}")
         index, _ = self.registered[table].text[column]
-        return index.search(query, model, limit)
+        if order == "score_desc":
+            return index.search(query, model, limit)
+        by, way = order.split("_")
+        rows = index.search(query, model).orderBy(F.col(by).asc() if way == "asc" else F.col(by).desc(), "id")
+        return rows.limit(limit) if limit is not None else rows
 
     def _place(self, table: str) -> tuple[DataFrame, str, Column, Column]:
         r = self.registered[table]

@@ -1,8 +1,8 @@
-"""Vector similarity: exact search, an inverted file of k-means cells, and navigable graphs per partition."""
+"""Vector similarity: exact search, an inverted file of k-means cells, and navigable graphs per block of rows."""
 
 from __future__ import annotations
 
-import heapq
+import io
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,6 +17,8 @@ from ..errors import SqlBindingError
 METRICS = ("euclidean", "cosine", "dot")
 #: Recall that the default number of probed cells reaches on sampled queries; above the 0.9 asked for, as samples vary.
 RECALL = 0.95
+#: Most cells of an inverted file; the centres are fitted on the driver from a bounded sample.
+MOST_CELLS = 2048
 
 
 def similarity(vector: Column, query: list[float], metric: str) -> Column:
@@ -53,7 +55,7 @@ def check_collection(vectors: DataFrame) -> None:
         raise SqlBindingError("vector ids must be unique")
 
 
-def kmeans(points: np.ndarray, k: int, seed: int = 20261106, rounds: int = 25) -> np.ndarray:
+def kmeans(points: np.ndarray, k: int, seed: int = 41, rounds: int = 25) -> np.ndarray:
     """Centres by Lloyd's rounds from a k-means++ start; an empty cell takes the point farthest from its centre."""
     rng = np.random.default_rng(seed)
     centres = points[[int(rng.integers(len(points)))]]
@@ -62,9 +64,12 @@ def kmeans(points: np.ndarray, k: int, seed: int = 20261106, rounds: int = 25) -
         centres = np.vstack([centres, points[int(rng.choice(len(points), p=gap / gap.sum())) if gap.sum() > 0 else int(rng.integers(len(points)))]])
         gap = np.minimum(gap, ((points - centres[-1]) ** 2).sum(1))
     for _ in range(rounds):
-        distance = (points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)
-        cell = distance.argmin(1)
-        new = np.array([points[cell == c].mean(0) if (cell == c).any() else points[distance[np.arange(len(points)), cell].argmax()] for c in range(k)])
+        cell, gap = np.empty(len(points), dtype=int), np.empty(len(points))
+        for lo in range(0, len(points), 4096):
+            part = points[lo : lo + 4096]
+            distance = (part**2).sum(1)[:, None] - 2 * part @ centres.T + (centres**2).sum(1)
+            cell[lo : lo + 4096], gap[lo : lo + 4096] = distance.argmin(1), distance.min(1)
+        new = np.array([points[cell == c].mean(0) if (cell == c).any() else points[gap.argmax()] for c in range(k)])
         if np.allclose(new, centres):
             break
         centres = new
@@ -86,7 +91,7 @@ class IvfIndex:
     def build(cls, vectors: DataFrame, metric: str, cells: int | None = None, sample: int = 20_000) -> IvfIndex:
         """sample: vectors the centres are fitted on, those with the least hash of their id; all vectors are indexed."""
         n = vectors.count()
-        cells = cells or max(1, round(math.sqrt(n)))
+        cells = cells or min(MOST_CELLS, max(1, round(math.sqrt(n))))
         points = np.array([r["vector"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()], dtype=float)
         centres = kmeans(_unit(points) if metric == "cosine" else points, min(cells, len(points)))
         cosine = metric == "cosine"
@@ -149,96 +154,133 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class Graph:
-    """A hierarchical navigable small world over points in Euclidean space."""
-
-    def __init__(self, points: np.ndarray, m: int = 16, width: int = 100, seed: int = 20261106) -> None:
-        self.x, self.m, self.width = points, m, width
-        rng = np.random.default_rng(seed)
-        self.levels = np.floor(-np.log(1 - rng.random(len(points))) / math.log(m)).astype(int)
-        self.links: list[dict[int, list[int]]] = [{} for _ in range(int(self.levels.max(initial=0)) + 1)]
-        self.top = -1
-        self.entry = 0
-        for i in range(len(points)):
-            self._add(i)
-
-    def _far(self, q: np.ndarray, ids: list[int]) -> np.ndarray:
-        return ((self.x[ids] - q) ** 2).sum(1)
-
-    def _walk(self, q: np.ndarray, starts: list[int], level: int, width: int) -> list[tuple[float, int]]:
-        links = self.links[level]
-        seen = set(starts)
-        open_ = [(float(d), i) for d, i in zip(self._far(q, starts), starts, strict=True)]
-        best = [(-d, -i) for d, i in open_]
-        heapq.heapify(open_)
-        heapq.heapify(best)
-        while open_ and (len(best) < width or open_[0][0] <= -best[0][0]):
-            _, i = heapq.heappop(open_)
-            fresh = [j for j in links.get(i, ()) if j not in seen]
-            seen.update(fresh)
-            for d, j in zip(self._far(q, fresh) if fresh else (), fresh, strict=True):
-                if len(best) < width or d < -best[0][0]:
-                    heapq.heappush(open_, (float(d), j))
-                    heapq.heappush(best, (-float(d), -j))
-                    if len(best) > width:
-                        heapq.heappop(best)
-        return sorted((-d, -i) for d, i in best)
-
-    def _spread(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Neighbours nearer to the point than to those already chosen, then the nearest others."""
-        chosen: list[int] = []
-        for d, i in found:
-            if len(chosen) < most and (not chosen or d < self._far(self.x[i], chosen).min()):
-                chosen.append(i)
-        return chosen + [i for _, i in found if i not in chosen][: most - len(chosen)]
-
-    def _add(self, i: int) -> None:
-        level = int(self.levels[i])
-        if self.top >= 0:
-            starts = [self.entry]
-            for at in range(self.top, -1, -1):
-                found = self._walk(self.x[i], starts, at, self.width if at <= level else 1)
-                starts = [j for _, j in found]
-                if at <= level:
-                    most = self.m * (2 if at == 0 else 1)
-                    self.links[at][i] = self._spread(found, self.m)
-                    for j in self.links[at][i]:
-                        back = self.links[at].setdefault(j, [])
-                        back.append(i)
-                        if len(back) > most:
-                            self.links[at][j] = self._spread(sorted(zip(self._far(self.x[j], back).tolist(), back, strict=True)), most)
-        if level > self.top:
-            self.top, self.entry = level, i
-
-    def search(self, q: np.ndarray, k: int, width: int = 64) -> list[int]:
+    """A hierarchical navigable small world over a block of points in Euclidean space, built in bulk.
+
+    Each layer holds a point with a chance of 1 / m of the layer below. As a block is small, a layer's links come from exact
+    neighbours by matrix products: of the ``near`` nearest points those are linked, both ways, that lie nearer to the point
+    than to any linked before. A chain along the first coordinate joins what stays apart. Equal points are one node.
+    """
+
+    def __init__(self, layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, top: np.ndarray, of: np.ndarray) -> None:
+        self.layers, self.x, self.top, self.of = layers, x, top, of
+
+    @classmethod
+    def build(cls, points: np.ndarray, m: int = 16, near: int = 48, seed: int = 17) -> Graph:
+        x, of = np.unique(points, axis=0, return_inverse=True)
+        height = (-np.log(1 - np.random.default_rng(seed).random(len(x))) / math.log(m)).astype(int)
+        layers, nodes = [], np.arange(len(x))
+        while len(nodes):
+            layers.append(cls._layer(x, nodes, near, 2 * m if not layers else m))
+            top, nodes = nodes, np.flatnonzero(height >= len(layers))
+        return cls(layers, x, top if len(x) else nodes, of.reshape(-1))
+
+    @staticmethod
+    def _layer(x: np.ndarray, nodes: np.ndarray, near: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links of a layer: where each node's begin, and their targets."""
+        p, pairs = x[nodes], [np.stack([nodes[:-1], nodes[1:]])]  # np.unique sorts by the first coordinate
+        square, k = (p**2).sum(1), min(near, len(nodes) - 1)
+        for lo in range(0, len(p) if k else 0, 256):
+            far = square[lo : lo + 256, None] - 2 * p[lo : lo + 256] @ p.T + square
+            rows = np.arange(len(far))
+            far[rows, lo + rows] = np.inf
+            close = np.argpartition(far, k - 1, axis=1)[:, :k]
+            close = np.take_along_axis(close, np.argsort(np.take_along_axis(far, close, 1), axis=1), 1)
+            own, c = np.take_along_axis(far, close, 1), p[close]
+            between = square[close][:, :, None] - 2 * np.matmul(c, c.transpose(0, 2, 1)) + square[close][:, None, :]
+            kept = np.zeros((len(far), k), dtype=bool)
+            for j in range(k):
+                shade = np.where(kept, between[:, j, :], np.inf).min(1)
+                kept[:, j] = (own[:, j] < shade) & (kept.sum(1) < most)
+            pairs.append(np.stack([nodes[lo + np.nonzero(kept)[0]], nodes[close[kept]]]))
+        one_way = np.hstack(pairs)
+        link = np.unique(np.hstack([one_way, one_way[::-1]]), axis=1)
+        return np.searchsorted(link[0], np.arange(len(x) + 1)), link[1]
+
+    def _beam(self, q: np.ndarray, layer: int, start: np.ndarray, width: int, step: int = 4) -> np.ndarray:
+        """Up to ``width`` nodes near q, nearest first: the nearest that are still closed are opened, some at a time, until none is."""
+        begin, target = self.layers[layer]
+        seen = np.zeros(len(self.x), dtype=bool)
+        seen[start] = True
+        ids, far, opened = start, ((self.x[start] - q) ** 2).sum(1), np.zeros(len(start), dtype=bool)
+        while not opened.all():
+            closed = np.flatnonzero(~opened)
+            pick = closed[np.argsort(far[closed])[:step]]
+            opened[pick] = True
+            new = np.unique(np.concatenate([target[begin[i] : begin[i + 1]] for i in ids[pick]]))
+            new = new[~seen[new]]
+            seen[new] = True
+            ids, far, opened = np.append(ids, new), np.append(far, ((self.x[new] - q) ** 2).sum(1)), np.append(opened, np.zeros(len(new), dtype=bool))
+            best = np.argsort(far, kind="stable")[:width]
+            ids, far, opened = ids[best], far[best], opened[best]
+        return ids
+
+    def search(self, q: np.ndarray, k: int, width: int) -> np.ndarray:
+        """Places of at least k points (all, if fewer) near q; equal points come together."""
         if not len(self.x):
-            return []
-        starts = [self.entry]
-        for level in range(self.top, 0, -1):
-            starts = [self._walk(q, starts, level, 1)[0][1]]
-        return [i for _, i in self._walk(q, starts, 0, max(width, k))[:k]]
+            return np.zeros(0, dtype=int)
+        start = self.top
+        for layer in range(len(self.layers) - 1, 0, -1):
+            start = self._beam(q, layer, start, 4)
+        return np.flatnonzero(np.isin(self.of, self._beam(q, 0, start, max(width, k))))
+
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, top=self.top, of=self.of, x=self.x, **{f"{name}{i}": part for i, layer in enumerate(self.layers) for name, part in zip("bt", layer, strict=True)})
+        return out.getvalue()
 
+    @classmethod
+    def load(cls, raw: bytes) -> Graph:
+        held = np.load(io.BytesIO(raw))
+        return cls([(held[f"b{i}"], held[f"t{i}"]) for i in range(sum(name.startswith("b") for name in held))], held["x"], held["top"], held["of"])
 
-def hnsw(vectors: DataFrame, query: list[float], k: int, metric: str = "euclidean", rows_per_graph: int = 5000, width: int = 64) -> DataFrame:
-    """(id, score): a graph per block of rows; each block offers its k nearest, which are scored exactly and merged.
 
-    Inner product becomes Euclidean by one more coordinate that brings all norms of a block to the largest.
-    """
-    q = np.array(checked_query(query))
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo in range(0, len(batch), rows_per_graph):
-                part = batch.iloc[lo : lo + rows_per_graph]
-                x = np.array(part["vector"].tolist(), dtype=float)
-                target = q
-                if metric == "cosine":
-                    x, target = _unit(x), q / np.linalg.norm(q)
-                elif metric == "dot":
-                    norms = (x**2).sum(1)
-                    x, target = np.hstack([x, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]]), np.append(q, 0.0)
-                yield part.iloc[Graph(x).search(target, k, width)]
-
-    return exact(vectors.select("id", "vector").mapInPandas(blocks, vectors.select("id", "vector").schema), query, k, metric)
+@dataclass
+class HnswIndex:
+    """A graph per block of rows, built once: rows (ids, vectors, dim, graph), binary. A search asks each block and merges."""
+
+    blocks: DataFrame
+    schema: str
+    metric: str
+
+    @classmethod
+    def build(cls, vectors: DataFrame, metric: str, path: str | None = None, rows_per_graph: int = 5000) -> HnswIndex:
+        """With ``path`` the blocks are written and searches read them from there; else they are kept in memory and on disk.
+
+        Cosine searches unit vectors; inner product becomes Euclidean by one more coordinate that brings all norms of a block
+        to the largest.
+        """
+
+        def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for lo in range(0, len(batch), rows_per_graph):
+                    part = batch.iloc[lo : lo + rows_per_graph]
+                    v = np.array(part["vector"].tolist(), dtype=float)
+                    x = _unit(v) if metric == "cosine" else v
+                    if metric == "dot":
+                        lift = (x**2).sum(1)
+                        x = np.hstack([x, np.sqrt(lift.max() - lift)[:, None]])
+                    yield pd.DataFrame({"ids": [part["id"].to_numpy("<i8").tobytes()], "vectors": [v.astype("<f8").tobytes()], "dim": [v.shape[1]], "graph": [Graph.build(x).dump()]})
+
+        blocks = vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInPandas(made, "ids binary, vectors binary, dim int, graph binary")
+        if path:
+            blocks.write.parquet(path)
+            blocks = vectors.sparkSession.read.parquet(path)
+        else:
+            blocks = blocks.persist()
+        return cls(blocks, f"id long, vector {vectors.schema['vector'].dataType.simpleString()}", metric)
+
+    def search(self, query: list[float], k: int, width: int = 128) -> DataFrame:
+        """(id, score): each block offers at least k rows near the query, which are scored exactly and merged."""
+        q, metric = np.array(checked_query(query)), self.metric
+        aim = q / np.linalg.norm(q) if metric == "cosine" else np.append(q, 0.0) if metric == "dot" else q
+
+        def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for ids, raw, dim, graph in zip(batch["ids"], batch["vectors"], batch["dim"], batch["graph"], strict=True):
+                    at = Graph.load(graph).search(aim, k, width)
+                    yield pd.DataFrame({"id": np.frombuffer(ids, "<i8")[at], "vector": list(np.frombuffer(raw, "<f8").reshape(-1, dim)[at])})
+
+        return exact(self.blocks.mapInPandas(asked, self.schema), query, k, metric)
 
 
 def recall(found: list[int], true: list[int]) -> float:

@@ -176,7 +176,7 @@ def _vector(kind: str, metric: str) -> Query:
         if kind == "exact":
             found = vectors.exact(rows, query, 10, metric)
         elif kind == "hnsw":
-            found = vectors.hnsw(rows, query, 10, metric)
+            found = vectors.HnswIndex.build(rows, metric, f"{_folder(spark)}/hnsw").search(query, 10)
         else:
             index = vectors.IvfIndex.build(rows, metric)
             found = index.search(query, 10, len(index.centres) if kind == "ivf_all_cells" else None)

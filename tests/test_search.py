@@ -128,22 +128,35 @@ def test_vectors(cloud, metric):
     assert [r["id"] for r in vectors.exact(df, q, 10, metric).collect()] == want
     index = vectors.IvfIndex.build(df, metric)
     assert [r["id"] for r in index.search(q, 10, len(index.centres)).collect()] == want
-    assert vectors.recall([r["id"] for r in vectors.hnsw(df, q, 10, metric, rows_per_graph=400).collect()], want) >= 0.9
+    graphs = vectors.HnswIndex.build(df, metric, rows_per_graph=400)
+    assert vectors.recall([r["id"] for r in graphs.search(q, 10).collect()], want) >= 0.9
+    assert graphs.search(q, 600).count() == 600 and graphs.search(q, 10).schema["id"].dataType.simpleString() == "bigint"
     assert index.search(q, 600).count() == 600  # widens until enough
 
 
 @pytest.mark.parametrize("metric", vectors.METRICS)
-def test_default_recall(spark, metric):
-    """With its default cells and probes, an index without clear cells still finds 0.9 of the neighbours."""
+def test_default_recall(spark, metric, tmp_path):
+    """With their defaults, stored indexes without clear cells still find 0.9 of the neighbours."""
     x = np.random.default_rng(2).standard_normal((2500, 24))
-    index = vectors.IvfIndex.build(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<float>"), metric)
-    index.rows.cache()
-    found = []
-    for i in range(0, 2500, 100):
-        q = [float(v) for v in x[i].astype(np.float32)]
-        found.append(vectors.recall([r["id"] for r in index.search(q, 10).collect()], _true(x, np.array(q), metric, 10)))
-    index.rows.unpersist()
-    assert np.mean(found) >= 0.9
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<float>")
+    for index in (vectors.IvfIndex.build(df, metric).save(f"{tmp_path}/ivf"), vectors.HnswIndex.build(df, metric, f"{tmp_path}/hnsw", rows_per_graph=1000)):
+        found = []
+        for i in range(0, 2500, 100):
+            q = [float(v) for v in x[i].astype(np.float32)]
+            found.append(vectors.recall([r["id"] for r in index.search(q, 10).collect()], _true(x, np.array(q), metric, 10)))
+        assert np.mean(found) >= 0.9
+
+
+def test_graph_of_copies():
+    """Copies and lone points: every point can be reached, and a stored graph is the same graph."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([np.repeat(rng.standard_normal((3, 5)), 200, axis=0), rng.standard_normal((40, 5)) + 50])
+    graph = vectors.Graph.load(vectors.Graph.build(x).dump())
+    for i in (0, 250, 599, 620):
+        found = graph.search(x[i], 3, 8)
+        assert i in found and {j for j in range(640) if (x[j] == x[i]).all()} <= {*found.tolist()}
+    assert len(graph.search(x[0], 640, 8)) == 640 and not len(vectors.Graph.build(np.zeros((0, 3))).search(np.zeros(3), 2, 8))
+    assert vectors.Graph.build(np.ones((1, 3))).search(np.ones(3), 2, 8).tolist() == [0]
 
 
 def test_vector_errors(spark, cloud):
