@@ -5,7 +5,6 @@ from __future__ import annotations
 import copy
 import re
 import threading
-import time
 import uuid
 from dataclasses import dataclass, field, replace
 
@@ -18,7 +17,7 @@ from .functions import geo
 from .locks import Locks
 from .operators import vectors
 from .operators.text import TextIndex
-from .plans.explain import analysis, tree
+from .plans.explain import run, tree
 from .sql import compiler
 from .sql import parser as ast
 from .store import ARRIVAL, Store
@@ -285,9 +284,8 @@ class Session:
         plan = compiler.compile_select(e.select, self._relation, strategy)
         if not e.analyze:
             return Result("EXPLANATION", text=tree(plan))
-        start = time.monotonic()
-        rows = plan.frame.count()
-        return Result("EXPLANATION", affected=rows, text=analysis(plan, rows, time.monotonic() - start))
+        rows, text = run(plan)
+        return Result("EXPLANATION", affected=rows, text=text)
 
     def _createtable(self, c: ast.CreateTable) -> Result:
         if not self.engine.store:
@@ -316,6 +314,8 @@ class Session:
         if c.unique:
             self._unique(self.engine.store.read(table), [c.column])
         self.catalog["indexes"][c.name] = {"table": c.table, "column": c.column, "unique": c.unique}
+        if "sorted" not in table:  # the table's first index sorts its rows, so that conditions on the column skip row groups
+            self.catalog["tables"][c.table] = self.engine.store.sorted(table, c.table, c.column)
         self.changed.add(c.table)
         return Result("DEFINITION", text=f"index {c.name}")
 
@@ -329,8 +329,10 @@ class Session:
             index = self.catalog["indexes"].get(d.name)
             if index is None or d.name.startswith("__pk__"):
                 raise SqlBindingError(f"no index {d.name} that can be dropped")
-            self._table(index["table"], "X")
+            table = self._table(index["table"], "X")
             del self.catalog["indexes"][d.name]
+            if table.get("sorted") == index["column"]:
+                del table["sorted"]
             self.changed.add(index["table"])
         return Result("DEFINITION", text=f"dropped {d.name}")
 

@@ -64,3 +64,11 @@ class LockTimeout(TransactionError):
 
 class DeadlockVictim(TransactionError):
     """Waiting would close a circle of sessions that wait for each other."""
+
+
+class ExecutionError(EngineError):
+    """A statement failed while it ran; ``report`` is what EXPLAIN ANALYZE knows by then."""
+
+    def __init__(self, message: str, report: str) -> None:
+        super().__init__(message)
+        self.report = report

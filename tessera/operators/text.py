@@ -6,14 +6,19 @@ import math
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import DuplicateError
+
 # Fixed values of BM25.
 K1, B = 1.2, 0.75
+#: A table below this size is dealt over all cores before its texts are split.
+SMALL_BYTES = 1 << 30
 
 
 def words(text: Column) -> Column:
@@ -32,9 +37,15 @@ def query_words(text: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in text).split()
 
 
+def _dealt(table: DataFrame) -> DataFrame:
+    """``table``, dealt over all cores if it is so small that it may lie in a single row group."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else table
+
+
 @dataclass
 class TextIndex:
-    """postings (id, term, tf), documents (id, length, norm), lexicon (term, df), and the number and mean length of documents.
+    """postings (id, term, tf), documents (id, length, norm), lexicon (term, df), and the number of documents.
 
     The norm is that of all TF-IDF weights of a document. Documents without words count in n and the mean length only.
     """
@@ -43,30 +54,39 @@ class TextIndex:
     documents: DataFrame
     lexicon: DataFrame
     n: int
-    mean_length: float
 
     @classmethod
     def build(cls, table: DataFrame, id_column: str, text_column: str, exact: bool = False, path: str | None = None) -> TextIndex:
         """With ``path`` the tables are written, so that texts are split once and queries start from the tables.
 
-        Postings are sorted by term: a query reads the row groups of its words only.
+        Postings are sorted by term: a query reads the row groups of its words only. Repeated ids are refused.
         """
         spark = table.sparkSession
-        split = _exact(F.col(text_column)) if exact else words(F.coalesce(F.col(text_column), F.lit("")))
-        tokens = table.select(F.col(id_column).alias("id"), F.explode(split).alias("term"))
-        postings = tokens.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        ids = table.groupBy(F.col(id_column).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        n, most = ids.agg(F.sum("n"), F.max("n")).first()
+        if (most or 0) > 1:
+            raise DuplicateError(f"{id_column} names several documents {ids.where('n > 1').first()['id']}")
+        source = _dealt(table.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
+        split = _exact(F.col("text")) if exact else words(F.coalesce(F.col("text"), F.lit("")))
+        postings = source.select("id", F.explode(split).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
         if path:
             postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
             postings = spark.read.parquet(f"{path}/postings")
         lexicon = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        n, total = table.count(), postings.agg(F.sum("tf")).first()[0] or 0
-        weight = (1 + F.log("tf")) * (1 + F.log(F.lit(n + 1.0) / (F.col("df") + 1)))
-        documents = postings.join(lexicon, "term").groupBy("id").agg(F.sum("tf").alias("length"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+        weight = (1 + F.log("tf")) * (1 + F.log(F.lit((n or 0) + 1.0) / (F.col("df") + 1)))
         if path:
             lexicon.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/lexicon")
+            lexicon = spark.read.parquet(f"{path}/lexicon")
+        documents = postings.join(lexicon, "term").groupBy("id").agg(F.sum("tf").alias("length"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+        if path:
             documents.write.parquet(f"{path}/documents")
-            lexicon, documents = spark.read.parquet(f"{path}/lexicon"), spark.read.parquet(f"{path}/documents")
-        return cls(postings, documents, lexicon, n, total / n if n else 0.0)
+            documents = spark.read.parquet(f"{path}/documents")
+        return cls(postings, documents, lexicon, n or 0)
+
+    @cached_property
+    def mean_length(self) -> float:
+        total = self.documents.agg(F.sum("length")).first()[0] or 0
+        return total / self.n if self.n else 0.0
 
     def search(self, query: str, model: str, limit: int | None = None) -> DataFrame:
         """(id, score) of the documents with a word of the query, best first, then by id."""

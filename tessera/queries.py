@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -26,8 +27,12 @@ SQL: dict[str, str] = {}
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all machines share, as the cluster names it; a local one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tessera"
+    """A new folder that all machines share, as the cluster names it; a local one only where driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = f"file://{tempfile.gettempdir()}/tessera"
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
@@ -71,14 +76,14 @@ _sql("sql_range", "SELECT o_orderkey AS k FROM orders WHERE o_orderkey >= 100 AN
 _sql("sql_boolean", "SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'BUILDING' OR c_acctbal <= 5000.0) AND c_nationkey <> 3", "SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'BUILDING' OR c_acctbal <= 5000.0) AND c_nationkey <> 3")
 _sql("sql_columns_compared", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey < l_suppkey AND l_discount != l_tax", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE l_partkey < l_suppkey AND l_discount <> l_tax")
 _sql("sql_literals", "SELECT r_name FROM region WHERE 'it''s' <> 'its' AND -1 < +2 AND TRUE = TRUE", "SELECT r_name FROM region")
-_sql("sql_group_all_aggregates", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, COUNT(l_tax), SUM(l_partkey), MIN(l_quantity), MAX(l_shipmode_free), AVG(l_linenumber) FROM lineitem GROUP BY l_returnflag, l_linestatus".replace("MAX(l_shipmode_free)", "MAX(l_extendedprice)"), "SELECT l_returnflag, l_linestatus, count(*) AS n, count(l_tax) AS count_l_tax, CAST(sum(l_partkey) AS BIGINT) AS sum_l_partkey, min(l_quantity) AS min_l_quantity, max(l_extendedprice) AS max_l_extendedprice, avg(l_linenumber) AS avg_l_linenumber FROM lineitem GROUP BY ALL")
+_sql("sql_group_all_aggregates", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, COUNT(l_tax), SUM(l_partkey), MIN(l_quantity), MAX(l_extendedprice), AVG(l_linenumber) FROM lineitem GROUP BY l_returnflag, l_linestatus", "SELECT l_returnflag, l_linestatus, count(*) AS n, count(l_tax) AS count_l_tax, CAST(sum(l_partkey) AS BIGINT) AS sum_l_partkey, min(l_quantity) AS min_l_quantity, max(l_extendedprice) AS max_l_extendedprice, avg(l_linenumber) AS avg_l_linenumber FROM lineitem GROUP BY ALL")
 _sql("sql_global_aggregate", "SELECT COUNT(*), MIN(o_orderstatus), MAX(o_totalprice), AVG(o_custkey) FROM orders", "SELECT count(*) AS count, min(o_orderstatus) AS min_o_orderstatus, max(o_totalprice) AS max_o_totalprice, avg(o_custkey) AS avg_o_custkey FROM orders")
 _sql("sql_empty_aggregate", "SELECT COUNT(*), SUM(o_custkey), SUM(o_totalprice) AS t FROM orders WHERE o_orderkey < 0", "SELECT count(*) AS count, CAST(0 AS BIGINT) AS sum_o_custkey, CAST(0 AS DOUBLE) AS t FROM orders WHERE o_orderkey < 0")
 _sql("sql_grouped_order", "SELECT o_orderpriority AS p, COUNT(*) AS n FROM orders WHERE o_totalprice > 1000.0 GROUP BY o_orderpriority ORDER BY n DESC, p LIMIT 3", "SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY n DESC, p LIMIT 3")
 _sql("sql_order_limit", "SELECT p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25", "SELECT p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25")
 _sql("sql_order_stable", "SELECT p_partkey, p_size FROM part ORDER BY p_size, p_size DESC LIMIT 40", "SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part ORDER BY p_size, p_partkey LIMIT 40")
 _sql("sql_join_residual", "SELECT o.o_orderkey, c.c_name FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal WHERE c.c_acctbal > 0.0", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey AND o_totalprice > c_acctbal WHERE c_acctbal > 0")
-_sql("sql_join_two_keys", "SELECT a.l_orderkey, a.l_linenumber AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber", "SELECT a.l_orderkey, CAST(a.l_linenumber AS BIGINT) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber".replace("a.l_orderkey,", 'a.l_orderkey AS "a.l_orderkey",', 1))
+_sql("sql_join_two_keys", "SELECT a.l_orderkey, a.l_linenumber AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber", 'SELECT a.l_orderkey AS "a.l_orderkey", CAST(a.l_linenumber AS BIGINT) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber')
 _sql("sql_self_join", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 for _strategy in ("GRACE_HASH", "HASH", "MERGE", "NESTED_LOOP"):
     _sql(f"sql_join_{_strategy.lower()}", "SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey", "SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey", _strategy)
@@ -192,6 +197,28 @@ for _metric in vectors.METRICS:
             SQL[f"vector_{_kind}_{_metric}"] = _nearest(_metric)
 
 
+def _recall(kind: str) -> Query:
+    """Recall of a stored index with its defaults: every row divisible by 100 asks for its ten nearest."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, _ = _collection(spark, sf_dir)
+        asked = [[float(x) for x in r["vector"]] for r in rows.where("id % 100 = 0").orderBy("id").collect()]
+        out = []
+        for metric in vectors.METRICS:
+            at = f"{_folder(spark)}/{kind}"
+            index = vectors.HnswIndex.build(rows, metric, at) if kind == "hnsw" else vectors.IvfIndex.build(rows, metric).save(at)
+            found = [vectors.recall([r["id"] for r in index.search(q, 10).collect()], [r["id"] for r in vectors.exact(rows, q, 10, metric).collect()]) for q in asked]
+            out.append((metric, len(asked), sum(found) >= 0.9 * len(found)))
+        return spark.createDataFrame(out, "metric string, asked long, recall_is_0_9 boolean")
+
+    return run
+
+
+for _kind in ("ivf", "hnsw"):
+    QUERIES[f"vector_recall_{_kind}"] = _recall(_kind)
+    SQL[f"vector_recall_{_kind}"] = "SELECT metric, count(*) AS asked, TRUE AS recall_is_0_9 FROM (SELECT unnest(['euclidean', 'cosine', 'dot']) AS metric) m, embeddings WHERE vec_id % 100 = 0 GROUP BY metric"
+
+
 @_query(_nearest("cosine").replace("e.vec_id AS id, ", "e.vec_id, ").replace(", id LIMIT", ", e.vec_id LIMIT"))
 def vector_similar_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SIMILAR_TO by media key, over the default cells: its answers are those of SQL as far as the index's recall goes."""
@@ -204,26 +231,34 @@ def vector_similar_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= retrieval.MINIMUM), "doc_id", "text", 1 << 20)
+    return retrieval.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", refuse=False)
+
 
+_CHUNKS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT *, len(w) AS n, least(greatest(CAST(floor(len(w) / 250.0 + 0.5) AS BIGINT), CAST(ceil(len(w) / 500.0) AS BIGINT)), len(w) // 200) AS c FROM w),
+k AS (SELECT *, unnest(range(c)) AS k FROM c WHERE c > 0),
+chunks AS (SELECT doc_id AS paper_id, k + 1 AS position, array_to_string(w[k * (n // c) + least(k, n % c) + 1 : (k + 1) * (n // c) + least(k + 1, n % c)], ' ') AS content FROM k)"""
 
-@_query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
-c AS (SELECT *, len(w) AS n, least(greatest(CAST(floor(len(w) / 250.0 + 0.5) AS BIGINT), CAST(ceil(len(w) / 500.0) AS BIGINT)), len(w) // 200) AS c FROM w WHERE len(w) >= 200),
-k AS (SELECT *, unnest(range(c)) AS k FROM c)
-SELECT doc_id AS paper_id, k + 1 AS position, array_to_string(w[k * (n // c) + least(k, n % c) + 1 : (k + 1) * (n // c) + least(k + 1, n % c)], ' ') AS content FROM k""")
+
+@_query(f"WITH {_CHUNKS} SELECT * FROM chunks UNION ALL SELECT doc_id, 0, NULL FROM c WHERE c < 1")
 def rag_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all documents; those refused, as too short, have position 0 and no content."""
     return _papers(spark, sf_dir)
 
 
-@_query()
+_CHUNK_HITS = _BM25.replace("SELECT doc_id AS id, unnest(regexp_extract_all(lower(nfc_normalize(text))", "SELECT paper_id * 1000 + position AS id, unnest(regexp_extract_all(lower(nfc_normalize(content))").replace(" FROM documents", " FROM chunks").removeprefix("WITH ")
+
+
+@_query(f"WITH {_CHUNKS}, {_CHUNK_HITS}, best AS (SELECT id, score FROM scores ORDER BY round(score, 12) DESC, id LIMIT 3) SELECT 'S' || row_number() OVER (ORDER BY round(score, 12) DESC, id) AS label, id AS chunk_id, source AS title, id % 1000 AS position, round(score, 6) AS score FROM best JOIN documents ON doc_id = id // 1000")
 def rag_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = _papers(spark, sf_dir).withColumn("chunk_id", F.col("paper_id") * 1000 + F.col("position"))
-    at = f"{_folder(spark)}/chunks"
-    pieces.write.parquet(at)
-    pieces = spark.read.parquet(at)
-    papers = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("title"))
-    found = retrieval.retrieve(TextIndex.build(pieces, "chunk_id", "content"), pieces, papers, WORDS)
-    return found.select("label", "chunk_id", "title", "position", F.round("score", 6).alias("score"))
+    pieces = _papers(spark, sf_dir).where("position > 0").withColumn("chunk_id", F.col("paper_id") * 1000 + F.col("position"))
+    at = _folder(spark)
+    pieces.write.parquet(f"{at}/chunks")
+    out = Engine(spark)
+    out.register("chunks", spark.read.parquet(f"{at}/chunks"), "chunk_id")
+    out.register("papers", spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("title")), "paper_id")
+    out.publish_text("chunks", "chunk_id", "content", f"{at}/text")
+    return out.retrieve("chunks", "papers", WORDS).select("label", "chunk_id", "title", "position", F.round("score", 6).alias("score"))
 
 
 @_query("SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
@@ -241,7 +276,7 @@ def _changed(spark: SparkSession, sf_dir: str) -> tuple[Engine, int]:
     return out, n
 
 
-@_query("SELECT id, CASE WHEN id % 1 = 0 AND kind = 'click' THEN 'tap' ELSE kind END AS kind, worth, who FROM (SELECT event_id AS id, event_type AS kind, value AS worth, user_id AS who FROM events WHERE event_id >= 50) UNION ALL SELECT -1, 'new', 2.5, 3")
+@_query("SELECT id, CASE WHEN kind = 'click' THEN 'tap' ELSE kind END AS kind, worth, who FROM (SELECT event_id AS id, event_type AS kind, value AS worth, user_id AS who FROM events WHERE event_id >= 50) UNION ALL SELECT -1, 'new', 2.5, 3")
 def dml_insert_update_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = _changed(spark, sf_dir)
     out.sql("DELETE FROM log WHERE id < 50")
@@ -258,3 +293,50 @@ def transaction_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.sql("DELETE FROM log")
     session.sql("ROLLBACK")
     return out.sql("SELECT COUNT(*) FROM log").frame
+
+
+@_query("SELECT event_id AS id, event_type AS kind FROM events WHERE event_id >= 500 AND event_id < 620")
+def index_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A condition on a column with an index, whose rows lie in its order."""
+    out, _ = _changed(spark, sf_dir)
+    out.sql("CREATE UNIQUE INDEX by_id ON log(id)")
+    return out.sql("SELECT id, kind FROM log WHERE id >= 500 AND id < 620").frame
+
+
+@_query("SELECT event_id AS id FROM events WHERE event_type = 'click'")
+def index_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = _changed(spark, sf_dir)
+    out.sql("CREATE INDEX by_kind ON log(kind)")
+    out.sql("DROP INDEX by_kind")
+    out.sql("CREATE TABLE gone(id INTEGER PRIMARY KEY)")
+    out.sql("DROP TABLE gone")
+    return out.sql("SELECT id FROM log WHERE kind = 'click'").frame
+
+
+@_query("SELECT count(*) AS n, TRUE AS counted FROM orders WHERE o_totalprice > 1000")
+def explain_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that EXPLAIN ANALYZE reports, and whether its operators' own counts hold that number."""
+    text = "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000.0"
+    found = engine(spark, sf_dir, text=text).sql(f"EXPLAIN ANALYZE {text}")
+    return spark.createDataFrame([(found.affected, f"number of output rows: {found.affected}" in found.text)], "n long, counted boolean")
+
+
+@_query(f"WITH places AS ({_PLACES}) SELECT id FROM places WHERE {_HAVERSINE} <= 3000")
+def spatial_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT id FROM places WHERE DISTANCIA(ubicacion, centre) <= 3000"
+    return engine(spark, sf_dir, text=text).sql(text, {"centre": CENTER}).frame
+
+
+@_query("SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE FALSE")
+def text_no_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).sql("SELECT doc_id, SCORE() FROM documents WHERE MATCH(text, 'zzzzqqqq') USING BM25").frame
+
+
+@_query(_nearest("dot"))
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest to a registered media, through the engine."""
+    rows, _ = _collection(spark, sf_dir)
+    out = Engine(spark)
+    out.register("canciones", rows.select("id", F.concat(F.lit("s"), "id", F.lit(".mp3")).alias("media_key")), "id")
+    out.publish_media("canciones", "id", rows, kind="audio")
+    return out.vector_search("canciones", "s7.mp3", 10, metric="dot").select("id", F.round("score", 6).alias("score"))

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 
 from tessera import retrieval
-from tessera.engine import Engine
-from tessera.errors import MaintenanceError, SqlBindingError, SqlUnsupportedError
+from tessera.engine import Engine, media_kind
+from tessera.errors import DuplicateError, MaintenanceError, SqlBindingError, SqlUnsupportedError
 from tessera.functions import geo
 from tessera.operators import vectors
 from tessera.operators.text import TextIndex, query_words
@@ -177,6 +177,63 @@ def test_passages(spark):
         retrieval.chunks(spark.createDataFrame([(5, "short")], "id long, t string"), "id", "t").collect()
 
 
+def test_passages_by_bytes(spark):
+    """More parts while a part is too long, down to 200 words each; then the text is refused."""
+    cut = lambda n, width, **more: retrieval.chunks(spark.createDataFrame([(5, " ".join(["x" * width] * n))], "id long, t string"), "id", "t", **more).orderBy("position").collect()
+    assert [len(r["content"].split()) for r in cut(1000, 15)] == [250] * 4  # 3,999 bytes fit 4,015
+    assert [len(r["content"].split()) for r in cut(1000, 18)] == [200] * 5  # five parts at most
+    with pytest.raises(Exception, match="no cut fits"):
+        cut(1000, 30)
+    assert [(r["position"], r["content"]) for r in cut(1000, 30, refuse=False)] == [(0, None)] == [(r["position"], r["content"]) for r in cut(199, 3, refuse=False)]
+    many = cut(20_300, 4, row_bytes=1069)  # 201 words fit, so about 101 parts, long after the first count of 81
+    assert len(many) == 101 and max(len(r["content"]) for r in many) <= 1005
+    papers = spark.createDataFrame([(1, None), (2, "")], "id long, t string")
+    assert [r["position"] for r in retrieval.chunks(papers, "id", "t", refuse=False).collect()] == [0, 0]
+
+
+def test_text_refuses_repeated_ids(spark):
+    with pytest.raises(DuplicateError):
+        TextIndex.build(spark.createDataFrame([(1, "a"), (1, "b")], "id long, t string"), "id", "t")
+
+
+def test_text_orders(library):
+    rows = library.text_search("docs", "texto", "base datos").collect()
+    assert [r["id"] for r in rows] == [30, 7, 11]
+    assert [r["id"] for r in library.text_search("docs", "texto", "base datos", order="score_asc", limit=2).collect()] == [11, 7]
+    assert [r["id"] for r in library.text_search("docs", "texto", "base datos", order="id_desc").collect()] == [30, 11, 7]
+    with pytest.raises(SqlBindingError):
+        library.text_search("docs", "texto", "x", order="best")
+
+
+def test_media_keys(spark, tmp_path):
+    assert media_kind("a.JPG") == "image" and media_kind("x-1.mp3", "audio") == "audio"
+    for bad in ("", ".jpg", "a/b.jpg", "a..b.jpg", "a.gif", "a" * 125 + ".jpg", "a.jpg"):
+        with pytest.raises(SqlBindingError):
+            media_kind(bad, "audio" if bad == "a.jpg" else None)
+    e = Engine(spark, f"file://{tmp_path}")
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0])], "id long, vector array<float>")
+    e.register("m", spark.createDataFrame([(1, "a.png"), (2, "b.png"), (3, "c.png")], "id long, media_key string"), "id")
+    with pytest.raises(SqlBindingError):
+        e.publish_media("m", "id", rows, kind="audio")
+    e.publish_media("m", "id", rows, kind="image")
+    for index in ("IVF", "HNSW"):
+        for _ in range(2):
+            assert [r[0] for r in e.sql(f"SELECT id FROM m WHERE SIMILAR_TO('a.png', k=2) USING {index} WITH METRIC=cosine").fetchall(9)] == [1, 2]
+    assert len(e.registered["m"].media.indexes) == 2 and len(list((tmp_path / ".indexes" / "m").iterdir())) == 2
+    assert [r["id"] for r in e.vector_search("m", [0.0, 2.0], 1, "HNSW").collect()] == [3]
+    with pytest.raises(SqlBindingError):
+        e.sql("SELECT id FROM m WHERE SIMILAR_TO('../a.png', k=2) USING IVF WITH METRIC=cosine")
+
+
+def test_retrieve(spark):
+    e = Engine(spark)
+    e.register("c", spark.createDataFrame([(11, 1, 1, "stars and gas"), (21, 2, 1, "cells and genes")], "chunk_id long, paper_id long, position long, content string"), "chunk_id")
+    e.register("p", spark.createDataFrame([(1, "Sky"), (2, "Life")], "paper_id long, title string"), "paper_id")
+    e.publish_text("c", "chunk_id", "content")
+    assert [(r["label"], r["title"], r["chunk_id"]) for r in e.retrieve("c", "p", "which genes").collect()] == [("S1", "Life", 21)]
+    assert e.retrieve("c", "p", "nothing known").count() == 0
+
+
 def test_delimited(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id;x;ok;s\n1;2.5;true;a\n2;3;FALSE;\n")
     p = read_delimited(spark, str(tmp_path / "a.csv"))

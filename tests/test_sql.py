@@ -1,12 +1,14 @@
 """The dialect: accepted statements with their rows, refused ones with their errors."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.engine import Engine
-from tessera.errors import DuplicateError, MaintenanceError, SqlBindingError, SqlLexicalError, SqlLimitError, SqlSyntaxError, SqlUnknownColumnError, SqlUnknownTableError, SqlUnsupportedError, TransactionError
+from tessera.errors import DuplicateError, ExecutionError, MaintenanceError, SqlBindingError, SqlLexicalError, SqlLimitError, SqlSyntaxError, SqlUnknownColumnError, SqlUnknownTableError, SqlUnsupportedError, TransactionError
 from tessera.sql.parser import parse
 
 
+# The rows of students and enrollments, and results of statements over them, are acceptance values.
 @pytest.fixture(scope="module")
 def school(spark):
     e = Engine(spark)
@@ -160,3 +162,42 @@ def test_many_inserts_are_merged(spark, tmp_path):
 
 def test_strings_and_numbers():
     assert parse("SELECT a FROM t WHERE b = 'it''s' AND c = -1.5").where.parts[0].right.value == "it's"
+
+
+def test_explain_analyze(spark):
+    e = Engine(spark)
+    e.register("t", spark.range(100).selectExpr("id", "id % 7 AS g"), "id")
+    found = e.sql("EXPLAIN ANALYZE SELECT g, COUNT(*) AS n FROM t WHERE id >= 30 GROUP BY g")
+    assert found.affected == 7 and "rows: 7" in found.text and "Filter" in found.text and "number of output rows: 70" in found.text
+    e.register("broken", spark.range(5).selectExpr("id", "CASE WHEN id = 3 THEN CAST(raise_error('no more') AS BIGINT) ELSE id END AS n"), "id")
+    with pytest.raises(ExecutionError, match="no more") as failed:
+        e.sql("EXPLAIN ANALYZE SELECT n FROM broken WHERE n >= 0")
+    assert "Filter" in failed.value.report and "failed" in failed.value.report
+
+
+def test_index_orders_rows(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    s = e.session()
+    s.sql("CREATE TABLE t(id INTEGER PRIMARY KEY, k INTEGER)")
+    s.load("t", spark.range(2000).selectExpr("id", "(id * 7919) % 1000 AS k").repartition(3))
+    e.sql("CREATE INDEX by_k ON t(k)")
+    table = e.store.catalog["tables"]["t"]
+    assert table["sorted"] == "k"
+    ranges = sorted((r[1], r[2]) for r in spark.read.parquet(*table["parts"]).selectExpr("input_file_name() AS f", "k").groupBy("f").agg(F.min("k"), F.max("k")).collect())
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    assert e.sql("SELECT id FROM t WHERE k = 5").frame.count() == 2
+    e.sql("DELETE FROM t WHERE k = 5")
+    assert e.sql("SELECT COUNT(*) AS n FROM t").fetchall(1) == [(1998,)] and e.store.catalog["tables"]["t"]["sorted"] == "k"
+    e.sql("DROP INDEX by_k")
+    assert "sorted" not in e.store.catalog["tables"]["t"]
+
+
+def test_two_drivers(spark, tmp_path):
+    """A driver that read the catalog before another one changed it can't overwrite that change."""
+    first, second = Engine(spark, f"file://{tmp_path}"), Engine(spark, f"file://{tmp_path}")
+    first.sql("CREATE TABLE a(id INTEGER PRIMARY KEY)")
+    with pytest.raises(TransactionError):
+        second.sql("CREATE TABLE b(id INTEGER PRIMARY KEY)")
+    third = Engine(spark, f"file://{tmp_path}")
+    third.sql("CREATE TABLE c(id INTEGER PRIMARY KEY)")
+    assert {*Engine(spark, f"file://{tmp_path}").store.catalog["tables"]} == {"a", "c"}
