@@ -18,6 +18,7 @@ from .locks import Locks
 from .operators import vectors
 from .operators.text import TextIndex
 from .plans.explain import run, tree
+from .sources.delimited import read_delimited
 from .sql import compiler
 from .sql import parser as ast
 from .store import ARRIVAL, Store
@@ -404,6 +405,21 @@ class Session:
             self._commit()
         return n
 
+    def load_delimited(self, name: str, path: str, primary: str | None = None) -> int:
+        """Make a table of a delimited file: its columns and types as ``read_delimited`` infers them, texts as long as the longest."""
+        found = read_delimited(self.engine.spark, path)
+        texts = [c for c, kind in found.columns if kind == "VARCHAR"]
+        longest = found.frame.agg(F.lit(1).alias("one"), *[F.max(F.char_length(F.col(f"`{c}`"))).alias(c) for c in texts]).first()
+        columns = tuple(ast.ColumnDefinition(c, kind, max(1, longest[c] or 1) if c in texts else None, c == primary) for c, kind in found.columns)
+        if primary is not None and primary not in dict(found.columns):
+            raise SqlUnknownColumnError(f"unknown column {primary}")
+        try:
+            self._createtable(ast.CreateTable(name, columns))
+            return self.load(name, found.frame)
+        except BaseException:
+            self._undo()
+            raise
+
     def _where(self, name: str, table: dict, where: object | None) -> tuple[DataFrame, Column, compiler.Scope]:
         relation = self._relation(ast.Table(name, name))
         scope = compiler.Scope({name: relation})

@@ -340,3 +340,19 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     out.register("canciones", rows.select("id", F.concat(F.lit("s"), "id", F.lit(".mp3")).alias("media_key")), "id")
     out.publish_media("canciones", "id", rows, kind="audio")
     return out.vector_search("canciones", "s7.mp3", 10, metric="dot").select("id", F.round("score", 6).alias("score"))
+
+
+@_query(f"{_BM25} SELECT id AS doc_id, round(score, 6) AS score FROM scores ORDER BY round(score, 12) DESC, id LIMIT 5")
+def text_without_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = f"SELECT doc_id, SCORE() FROM documents WHERE MATCH(text, '{WORDS}') USING BM25 LIMIT 5"
+    return engine(spark, sf_dir, text=text).sql(text).frame.withColumn("score", F.round("score", 6))
+
+
+@_query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def table_of_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made of a delimited file."""
+    at = _folder(spark)
+    spark.read.parquet(f"{sf_dir}/nation.parquet").coalesce(1).write.option("header", True).csv(f"{at}/nation.csv")
+    out = Engine(spark, f"{at}/tables")
+    out.session().load_delimited("nations", f"{at}/nation.csv", "n_nationkey")
+    return out.sql("SELECT * FROM nations").frame

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..errors import SqlBindingError, SqlUnknownColumnError, SqlUnsupportedError
 from ..functions import geo
+from ..operators.text import TextIndex
 from . import parser as ast
 
 STRATEGIES = {"AUTO": None, "GRACE_HASH": "shuffle_hash", "HASH": "broadcast", "MERGE": "merge", "NESTED_LOOP": "shuffle_replicate_nl"}
@@ -354,9 +355,11 @@ def _ranked(s: ast.Select, scope: Scope) -> Plan:
         raise SqlBindingError(f"this search has {function}()")
     if text:
         column = scope.bind(w.column)
-        if column.type != "VARCHAR" or w.column.column not in relation.text:
-            raise SqlBindingError(f"{w.column.column} has no published text index")
-        index, id_column = relation.text[w.column.column]
+        published = w.column.column in relation.text
+        if column.type != "VARCHAR" or not published and relation.key is None:
+            raise SqlBindingError(f"{w.column.column} is not text that can be searched: it needs a published index or its table a key")
+        # Without an index the texts are split for this statement, with the same scores.
+        index, id_column = relation.text[w.column.column] if published else (TextIndex.build(relation.frame, relation.key, w.column.column), relation.key)
         limit = s.limit
     else:
         if relation.media is None:
@@ -384,6 +387,6 @@ def _ranked(s: ast.Select, scope: Scope) -> Plan:
     order = keys or [("score", False)]
     by = [(F.col("__score") if k == "score" else F.col("__id")) for k, _ in order]
     df = df.orderBy(*[c.asc() if up else c.desc() for c, (_, up) in zip(by, order, strict=True)], F.col("__id").asc())
-    steps = [f"{'TextIndexScan' if text else 'VectorIndexScan'} {relation.name} {w.model if text else w.index}", "Projection " + ", ".join(b.name for b in bound)]
+    steps = [f"{('TextIndexScan' if published else 'TextScan') if text else 'VectorIndexScan'} {relation.name} {w.model if text else w.index}", "Projection " + ", ".join(b.name for b in bound)]
     plan = Plan(df.select(*[b.column.alias(b.name) for b in bound]), [(b.name, b.type) for b in bound], steps)
     return Plan(plan.frame.limit(limit), plan.columns, [*steps, f"Limit {limit}"]) if limit is not None else plan

@@ -196,6 +196,20 @@ def test_text_refuses_repeated_ids(spark):
         TextIndex.build(spark.createDataFrame([(1, "a"), (1, "b")], "id long, t string"), "id", "t")
 
 
+def test_text_without_index(spark, library):
+    """The same scores without a published index; a table without key is refused."""
+    e = Engine(spark)
+    e.register("docs", library.registered["docs"].frame, "id")
+    e.register("loose", library.registered["docs"].frame)
+    text = "SELECT id, SCORE() FROM docs WHERE MATCH(texto, 'base datos') USING {}"
+    for model in ("BM25", "TF_IDF"):
+        assert e.sql(text.format(model)).fetchall(9) == library.sql(text.format(model)).fetchall(9)
+    assert e.sql("EXPLAIN " + text.format("BM25")).text.splitlines()[1].strip().startswith("TextScan")
+    assert "TextIndexScan" in library.sql("EXPLAIN " + text.format("BM25")).text
+    with pytest.raises(SqlBindingError):
+        e.sql(text.format("BM25").replace("docs", "loose"))
+
+
 def test_text_orders(library):
     rows = library.text_search("docs", "texto", "base datos").collect()
     assert [r["id"] for r in rows] == [30, 7, 11]
@@ -246,3 +260,15 @@ def test_delimited(spark, tmp_path):
     with pytest.raises(Exception, match="."):
         read_delimited(spark, str(tmp_path / "c.csv")).frame.collect()
     assert delimiter("a|b|c,d") == "|"
+
+
+def test_load_delimited(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id;x;s\n1;2.5;abc\n2;3;\n")
+    (tmp_path / "b.csv").write_text("id;s\n1;a\n1;b\n")
+    e = Engine(spark, f"file://{tmp_path}/tables")
+    assert e.session().load_delimited("t", str(tmp_path / "a.csv"), "id") == 2
+    assert e.sql("SELECT id, x, s FROM t ORDER BY id").fetchall(9) == [(1, 2.5, "abc"), (2, 3.0, "")]
+    for name, file, key in (("t", "a.csv", "id"), ("u", "b.csv", "id"), ("u", "a.csv", "nope"), ("u", "a.csv", "x")):
+        with pytest.raises((SqlBindingError, DuplicateError)):
+            e.session().load_delimited(name, str(tmp_path / file), key)
+    assert {*e.store.catalog["tables"]} == {"t"}
