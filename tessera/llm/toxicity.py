@@ -1,9 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
 A word enters as its own embedding (known words) next to the mean embedding of its hashed character 3-grams, so unseen
-spellings are not blank. A text is scored through all its windows of ``WINDOW`` words, one every ``STRIDE``: the network
-reads each window in both directions, attention pools the states into one logit, and the largest logit of the text, put
-through a fitted logistic curve, is its score.
+spellings are not blank. A text is scored through all its windows of ``WINDOW`` words, one every ``STRIDE``, so that any
+passage of up to ``WINDOW - STRIDE + 1`` words lies whole in one of them. The network reads each window in both directions,
+attention pools the states into one logit, and the largest logit of the text, put through a fitted logistic curve, is its
+score.
 
 Training sees whole-text labels only, so it is multiple-instance: a toxic text teaches through its currently highest
 window, a clean text through its highest and two other windows. At most ``TRAIN_PER_CLASS`` labelled texts of each class
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 from .text import slices
 from .tokens import Numbers
 
-WINDOW, STRIDE = 48, 32
+WINDOW, STRIDE = 48, 16
+BATCH = 512  # windows the network reads at once: their states stay in a core's cache
 TRAIN_PER_CLASS = 2000
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION, BUCKETS = 8, 12, 12, 8, 1 << 13
 THRESHOLD = 0.3
@@ -206,14 +208,14 @@ class Scorer:
         base = np.cumsum(sizes) - sizes
         logits = np.empty(len(text), np.float32)
         span = np.arange(WINDOW)
-        for lo in range(0, len(text), 4096):
-            t, s = text[lo : lo + 4096], start[lo : lo + 4096]
+        for lo in range(0, len(text), BATCH):
+            t, s = text[lo : lo + BATCH], start[lo : lo + BATCH]
             mask = s[:, None] + span < sizes[t][:, None]
             mask[:, 0] |= ~mask.any(1)  # a text without words: one padding place is read
             at = np.where(mask, place[np.minimum((base[t] + s)[:, None] + span, len(place) - 1)], 0)
             at[sizes[t] == 0] = 0
             used = max(1, int(mask.sum(1).max()))
-            logits[lo : lo + 4096] = self.net.forward(self.g, at[:, :used], mask[:, :used].astype(np.float32))
+            logits[lo : lo + BATCH] = self.net.forward(self.g, at[:, :used], mask[:, :used].astype(np.float32))
         return logits, text, words
 
     def scores(self, texts: list[str]) -> np.ndarray:

@@ -524,11 +524,13 @@ def test_toxicity_gradients():
 
 
 def test_toxicity_windows():
-    """Windows cover every word, overlap, and a text's score is that of its worst window alone."""
+    """Windows cover every word and every short passage, and a text's score is that of its worst window alone."""
     for n in (0, 1, 47, 48, 49, 80, 81, 200, 1000):
         begins = toxicity.windows(n)
         assert begins[0] == 0 and {i for b in begins for i in range(b, min(b + toxicity.WINDOW, n))} == {*range(n)}
         assert all(np.diff(begins) < toxicity.WINDOW)
+        passage = toxicity.WINDOW - toxicity.STRIDE + 1
+        assert all(any(b <= first and first + passage <= b + toxicity.WINDOW for b in begins) for first in range(n - passage + 1))
     words = [f"w{k}".encode() for k in range(30)]
     net = small_network(words[:20])
     rng = random.Random(2)
