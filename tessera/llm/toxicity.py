@@ -65,6 +65,15 @@ def windows(n: int) -> np.ndarray:
     return np.arange(0, max(n - (WINDOW - STRIDE), 1), STRIDE)
 
 
+def _by_place(places: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of rows of ``values`` by their place, for ``size`` places."""
+    order = np.argsort(places, kind="stable")
+    found, first = np.unique(places[order], return_index=True)
+    out = np.zeros((size, values.shape[1]), np.float32)
+    out[found] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -155,7 +164,7 @@ class Network:
         dx = np.zeros_like(x)
         for d, part in (("f", dh[:, :, :H]), ("b", dh[:, :, H:])):
             U = p[f"U{d}"]
-            d_g, d_U, carry = np.zeros((len(x), 3 * H), np.float32), np.zeros_like(U), np.zeros((len(at), H), np.float32)
+            d_in, d_U, carry = np.empty((at.shape[1], len(at), 3 * H), np.float32), np.zeros_like(U), np.zeros((len(at), H), np.float32)
             for t, h, z, r, c, uc, m in reversed(k[d]):
                 dn = part[t] + carry
                 d_c = dn * m * (1 - z) * (1 - c * c)
@@ -164,16 +173,15 @@ class Network:
                 d_u = np.hstack([d_z, d_r, d_c * r])
                 carry = dn * (1 - m * (1 - z)) + d_u @ U.T
                 d_U += h.T @ d_u
-                np.add.at(d_g, at[:, t], np.hstack([d_z, d_r, d_c]))
+                d_in[t] = np.hstack([d_z, d_r, d_c])
+            d_g = _by_place(at.T.reshape(-1), d_in.reshape(-1, 3 * H), len(x))
             g[f"U{d}"], g[f"W{d}"], g[f"b{d}"] = d_U, x.T @ d_g, d_g.sum(0)
             dx += d_g @ p[f"W{d}"].T
         if kept is not None:
             dx = dx * kept
-        g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], known, dx[:, :WORD_DIM])
+        g["E"] = _by_place(known, dx[:, :WORD_DIM], len(p["E"]))
         g["E"][0] = 0
-        g["C"] = np.zeros_like(p["C"])
-        np.add.at(g["C"], buckets, np.repeat(dx[:, WORD_DIM:] / count[:, None], count, axis=0))
+        g["C"] = _by_place(buckets, np.repeat(dx[:, WORD_DIM:] / count[:, None], count, axis=0), len(p["C"]))
         return g
 
 
