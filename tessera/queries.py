@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import retrieval
 from .engine import Engine
-from .operators import vectors
+from .operators import features, vectors
 from .operators.text import TextIndex
 from .sources.delimited import read_delimited
 
@@ -230,6 +230,23 @@ def vector_similar_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("score", F.round("score", 6))
 
 
+_WORDS_OF = """WITH words AS (SELECT vec_id AS word, CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE vec_id < 16),
+nearest AS (SELECT e.vec_id // 8 AS id, arg_min(word, struct_pack(far := list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[]), c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), word := word)) AS word FROM embeddings e, words GROUP BY e.vec_id),
+counts AS (SELECT id, CAST(word AS INTEGER) AS word, count(*) AS n FROM nearest GROUP BY ALL)"""
+
+
+def _described(spark: SparkSession, sf_dir: str, path: str | None = None) -> features.Features:
+    """Eight embeddings in turn are the descriptors of an object, the first sixteen of all are the vocabulary."""
+    rows, _ = _collection(spark, sf_dir)
+    centres = [r["vector"] for r in rows.where("id < 16").orderBy("id").collect()]
+    return features.Features.build(rows.select(F.expr("id div 8").alias("id"), "vector"), centres, path)
+
+
+@_query(f"{_WORDS_OF} SELECT id, word, n, round((1 + ln(n)) * (1 + ln(((SELECT count(DISTINCT id) FROM counts) + 1.0::DOUBLE) / (count(*) OVER (PARTITION BY word) + 1))), 6) AS weight FROM counts")
+def features_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _described(spark, sf_dir, f"{_folder(spark)}/words").weights().withColumn("weight", F.round("weight", 6))
+
+
 def _papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", refuse=False)
 

@@ -11,6 +11,7 @@ from tessera.engine import Engine, media_kind
 from tessera.errors import DuplicateError, MaintenanceError, SqlBindingError, SqlUnsupportedError
 from tessera.functions import geo
 from tessera.operators import vectors
+from tessera.operators.features import Features, nearest_words, vocabulary
 from tessera.operators.text import TextIndex, query_words
 from tessera.sources.delimited import delimiter, read_delimited
 
@@ -272,3 +273,40 @@ def test_load_delimited(spark, tmp_path):
         with pytest.raises((SqlBindingError, DuplicateError)):
             e.session().load_delimited(name, str(tmp_path / file), key)
     assert {*e.store.catalog["tables"]} == {"t"}
+
+
+def test_features(spark, tmp_path):
+    """Histograms, TF-IDF vectors and a query's vector against loops over objects; what is refused."""
+    rng = np.random.default_rng(4)
+    rows = [(i % 23, [float(x) for x in rng.normal(i % 5, 1.0, 3)]) for i in range(400)] + [(99, [0.0, 0.0, 0.0])] * 2
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    centres = vocabulary(df, 6)
+    assert centres.shape == (6, 3) and np.array_equal(centres, vocabulary(df, 6))
+    centres[5] = centres[2]  # equally near words: the lower one
+    counts = {}
+    for i, v in rows:
+        far = [sum((a - float(b)) ** 2 for a, b in zip(v, c, strict=True)) for c in centres]
+        counts.setdefault(i, [0] * 6)[far.index(min(far))] += 1
+    n = len(counts)
+    idf = [math.log((n + 1) / (sum(h[j] > 0 for h in counts.values()) + 1)) + 1 for j in range(6)]
+    weigh = lambda h: [(1 + math.log(k)) * w if k else 0.0 for k, w in zip(h, idf, strict=True)]
+    for path in (None, f"file://{tmp_path}/words"):
+        built = Features.build(df, centres, path)
+        assert built.n == n and {(r["id"], r["word"]): r["n"] for r in built.counts.collect()} == {(i, j): k for i, h in counts.items() for j, k in enumerate(h) if k}
+        got = {r["id"]: r["vector"] for r in built.vectors().collect()}
+        assert got.keys() == counts.keys() and all(got[i] == pytest.approx(weigh(h), rel=1e-6) for i, h in counts.items())
+    assert built.query([v for i, v in rows if i == 7]) == pytest.approx(got[7]) and got[7][5] == 0
+    assert list(nearest_words(np.zeros((1, 3)), np.ones((3, 3)))) == [0]
+    e = Engine(spark)
+    e.register("images", spark.createDataFrame([(i, f"p{i}.jpg") for i in counts], "id long, media_key string"), "id")
+    e.publish_media("images", "id", built.vectors())
+    assert e.sql("SELECT id FROM images WHERE SIMILAR_TO('p7.jpg', k=1) USING IVF WITH METRIC=cosine").fetchall(9)
+    for bad in ([], [(1, [1.0]), (2, [1.0, 2.0])], [(1, None)], [(1, [math.nan])], [(None, [1.0])]):
+        with pytest.raises(SqlBindingError):
+            vocabulary(spark.createDataFrame(bad, "id long, vector array<double>"), 1)
+    for size in (0, 500):
+        with pytest.raises(SqlBindingError):
+            vocabulary(df, size)
+    for call in (lambda: Features.build(df, centres[:, :2]), lambda: built.query([[1.0]])):
+        with pytest.raises(SqlBindingError):
+            call()
