@@ -8,8 +8,8 @@ score.
 
 Training sees whole-text labels only, so it is multiple-instance: a toxic text teaches through its currently highest
 window, a clean text through its highest and two other windows. At most ``TRAIN_PER_CLASS`` labelled texts of each class
-come to the driver, those with the least hash of their id; rows whose crc32(doc_id) mod 4 is 2 are held out. What every
-score depends on is the text alone.
+come to the driver, ``TRAIN_BYTES`` of them at most, by the least hash of their id; rows whose crc32(doc_id) mod 4 is 2 are
+held out. What every score depends on is the text alone.
 
 Defined cases: null counts as empty, and a text without words is scored as one window of padding; a null doc_id is not
 held out and has no label; repeated rows are scored alike; without labels of both classes every score is the share of
@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,8 @@ from .tokens import Numbers
 
 WINDOW, STRIDE = 48, 16
 BATCH = 512  # windows the network reads at once: their states stay in a core's cache
-TRAIN_PER_CLASS = 2000
+#: Bounds of the sample the network is fitted on: labelled texts of a class, their bytes in all, bytes of one of them.
+TRAIN_PER_CLASS, TRAIN_BYTES, TRAIN_TEXT_BYTES = 2000, 32 << 20, 1 << 20
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION, BUCKETS = 8, 12, 12, 8, 1 << 13
 THRESHOLD = 0.3
 MAX_WORDS = 200_000
@@ -309,15 +310,24 @@ def _curve(best: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> tuple[list[str], list[int]]:
-    """At most ``per_class`` labelled texts of each class that are not held out, in a fixed order."""
+    """At most ``per_class`` labelled texts of each class that are not held out, in a fixed order.
+
+    Of these, texts beyond ``TRAIN_TEXT_BYTES`` teach nothing, and the rest only up to ``TRAIN_BYTES`` a class, by the hash of
+    their ids: what the driver collects is bounded in bytes, however long the texts are. Repeated rows count at most twice
+    ``per_class`` a class.
+    """
     spread = F.xxhash64("doc_id", F.lit("toxicity"))
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = None
     for label in (0, 1):
         part = known.where(F.col("toxic") == label).distinct().orderBy(spread, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows
-    rows = sorted((r["toxic"], r["doc_id"], r["text"] or "") for r in rows.orderBy(spread, "doc_id").limit(4 * per_class).collect())
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(size <= TRAIN_TEXT_BYTES)  # 2 * per_class ids
+    before = Window.partitionBy("toxic").orderBy(spread, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("total", F.sum(size).over(before)).withColumn("place", F.count(F.lit(1)).over(before))
+    rows = rows.where((F.col("total") <= TRAIN_BYTES) & (F.col("place") <= 2 * per_class)).select("toxic", "doc_id", "text").collect()
+    rows = sorted((r["toxic"], r["doc_id"], r["text"] or "") for r in rows)
     return [r[2] for r in rows], [r[0] for r in rows]
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -523,6 +524,24 @@ def test_toxicity_gradients():
         assert (sides[0] - sides[1]) / 0.04 == pytest.approx(float((g * way).sum()), rel=0.03, abs=2e-5), name
 
 
+def test_toxicity_sample(spark, monkeypatch):
+    """What the driver collects is bounded in rows and bytes a class; a text beyond the bound doesn't keep others out."""
+    rows = [(i, "x" * (5000 if i % 10 == 0 else 100), i % 2) for i in range(200)] + [(1, "again", 1)] * 50
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:200]], "doc_id long, toxic int")
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    texts, toxic = toxicity.sample(docs, labels)
+    assert sorted(zip(texts, toxic, strict=True)) == sorted((t, y) for _, t, y in learned)
+    monkeypatch.setattr(toxicity, "TRAIN_TEXT_BYTES", 1000)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 3000)
+    texts, toxic = toxicity.sample(docs, labels)
+    for label in (0, 1):
+        own = [len(t) for t, y in zip(texts, toxic, strict=True) if y == label]
+        assert max(own) <= 1000 and 2900 <= sum(own) <= 3000
+    assert (texts, toxic) == toxicity.sample(docs.repartition(3), labels.repartition(2))
+    assert max(np.bincount(toxicity.sample(docs, labels, per_class=5)[1])) <= 10
+
+
 def test_toxicity_windows():
     """Windows cover every word and every short passage, and a text's score is that of its worst window alone."""
     for n in (0, 1, 47, 48, 49, 80, 81, 200, 1000):
