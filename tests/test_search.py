@@ -192,6 +192,22 @@ def test_passages_by_bytes(spark):
     assert [r["position"] for r in retrieval.chunks(papers, "id", "t", refuse=False).collect()] == [0, 0]
 
 
+def test_chunks_agree_with_sql(spark, tmp_path):
+    """Words of many bytes don't change the cut: chunks beyond the operator's row size, and texts that no cut would fit."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = [(i, " ".join(f"{'x' * width}{j}" for j in range(n)), "s") for i, (n, width) in enumerate([(260, 18), (1130, 18), (700, 40), (250, 3), (199, 40)])]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["rag_chunks"](spark, f"file://{tmp_path}").collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    key = lambda r: (r[0], r[1])
+    assert sorted(map(tuple, got), key=key) == sorted(db.execute(entry.oracle_sql()["rag_chunks"]).fetchall(), key=key)
+    assert max(len(r[2] or "") for r in got) > retrieval.ROW_BYTES
+
+
 def test_text_refuses_repeated_ids(spark):
     with pytest.raises(DuplicateError):
         TextIndex.build(spark.createDataFrame([(1, "a"), (1, "b")], "id long, t string"), "id", "t")
