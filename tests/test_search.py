@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import retrieval
 from tessera.engine import Engine, media_kind
@@ -148,6 +149,52 @@ def test_default_recall(spark, metric, tmp_path):
         assert np.mean(found) >= 0.9
 
 
+def _tied_cloud(spark):
+    """900 vectors, every third a copy of another, and their table in a few partitions."""
+    x = np.random.default_rng(6).standard_normal((900, 8)).astype(np.float32).astype(float)
+    x[::3] = x[1]
+    return x, spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<float>").repartition(3)
+
+
+def _lists(found, n):
+    out = [[] for _ in range(n)]
+    for r in found.orderBy("query", F.desc("score"), "id").collect():
+        out[r["query"]].append(r["id"])
+    return out
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_many_queries(spark, metric, tmp_path):
+    """Queries asked together find what they find alone, ties among copies by id."""
+    x, df = _tied_cloud(spark)
+    asked = x[[0, 5, 300, 701]]
+    many = lambda found: _lists(found, len(asked))
+    assert many(vectors.exact_many(df, asked, 7, metric)) == [[r["id"] for r in vectors.exact(df, q.tolist(), 7, metric).collect()] for q in asked]
+    ivf, hnsw = vectors.IvfIndex.build(df, metric).save(f"{tmp_path}/ivf"), vectors.HnswIndex.build(df, metric, f"{tmp_path}/hnsw", rows_per_graph=400)
+    assert hnsw.blocks.count() == 3
+    for index in (ivf, hnsw):
+        assert many(index.search_many(asked, 7)) == [[r["id"] for r in index.search(q.tolist(), 7).collect()] for q in asked]
+    assert [len(ids) for ids in many(ivf.search_many(asked, 1000, 1))] == [900] * 4
+
+
+@pytest.mark.parametrize("kind", ["ivf", "hnsw"])
+def test_recall_jobs(spark, kind, tmp_path):
+    """The number of jobs doesn't grow with the number of queries."""
+    from tessera.queries import QUERIES
+
+    x, df = _tied_cloud(spark)
+    jobs = []
+    for copies in (1, 6):
+        rows = df.crossJoin(spark.range(copies).select(F.col("id").alias("copy"))).selectExpr("id + 900 * copy AS vec_id", "vector AS embedding")
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{copies}/embeddings.parquet")
+        spark.sparkContext.setJobGroup(f"recall-{kind}-{copies}", "")
+        got = QUERIES[f"vector_recall_{kind}"](spark, f"file://{tmp_path}/{copies}").collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"recall-{kind}-{copies}")))
+        spark.sparkContext.setJobGroup("", "")
+        assert [(r["metric"], r["asked"], r["recall_is_0_9"]) for r in got] == [(m, 9 * copies, True) for m in vectors.METRICS]
+    assert jobs[1] <= jobs[0] + 3
+
+
 def test_graph_of_copies():
     """Copies and lone points: every point can be reached, and a stored graph is the same graph."""
     rng = np.random.default_rng(4)
