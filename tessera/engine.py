@@ -84,7 +84,8 @@ class Media:
         row = self.keys.where(F.col("key") == w.key).join(self.vectors, "id").select("vector").first()
         if row is None:
             raise SqlBindingError(f"media {w.key} is not registered")
-        return self.index(w.index, w.metric).search(row["vector"], limit)
+        index = self.index(w.index, w.metric)
+        return index.search_exactly(row["vector"], limit) if w.index == "IVF" else index.search(row["vector"], limit)
 
 
 class Engine:

@@ -247,6 +247,22 @@ class IvfIndex:
         cells = self._probed(np.array(checked_query(query)), k, probe)
         return exact(self._in_cells(cells), query, k, self.metric)
 
+    def _bounds(self, q: np.ndarray) -> np.ndarray:
+        """The score that no vector of a cell exceeds, by the triangle inequality and the cell's radius."""
+        q = q / np.linalg.norm(q) if self.metric == "cosine" else q
+        size, reach = np.linalg.norm(q), np.linalg.norm(self.centres, axis=1) + self.radii
+        slack = 1e-9 * (size + reach)  # far above what rounding can add
+        if self.metric == "dot":
+            return self.centres @ q + size * (self.radii + slack) + slack
+        gap = np.maximum(np.linalg.norm(self.centres - q, axis=1) - self.radii - slack, 0.0)
+        return 0.0 - gap if self.metric == "euclidean" else 1 - gap**2 / 2 + slack
+
+    def search_exactly(self, query: list[float], k: int) -> DataFrame:
+        """The k nearest of all: after the probed cells, also those that can hold a vector as near as the k-th found."""
+        n, least = self.search(query, k).agg(F.count(F.lit(1)), F.min("score")).first()
+        bounds = self._bounds(np.array(checked_query(query)))
+        return exact(self._in_cells(np.flatnonzero((self.counts > 0) & (bounds >= (least if n >= k else -np.inf)))), query, k, self.metric)
+
     def search_many(self, queries: np.ndarray, k: int, probe: int | None = None) -> DataFrame:
         """(query, id, score): ``search`` for each row of ``queries``, known by its number, in one pass over the cells."""
         asks = np.zeros((len(self.centres), len(queries)), dtype=bool)

@@ -303,6 +303,28 @@ def test_media_keys(spark, tmp_path):
         e.sql("SELECT id FROM m WHERE SIMILAR_TO('../a.png', k=2) USING IVF WITH METRIC=cosine")
 
 
+def test_similar_to_is_exact(spark):
+    """Without clear cells the default number of probed cells misses neighbours; SIMILAR_TO over an inverted file does not."""
+    x = np.random.default_rng(2).standard_normal((2500, 24)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<float>")
+    e = Engine(spark)
+    e.register("m", df.selectExpr("id", "concat('v', id, '.jpg') AS media_key"), "id")
+    e.publish_media("m", "id", df)
+    missed = 0
+    for metric in vectors.METRICS:
+        for i in (7, 100, 1200):
+            got = e.sql(f"SELECT id, SIMILARITY_SCORE() FROM m WHERE SIMILAR_TO('v{i}.jpg', k=10) USING IVF WITH METRIC={metric}").fetchall(10)
+            assert [r[0] for r in got] == _true(x, x[i], metric, 10)
+            missed += [r["id"] for r in e.vector_search("m", f"v{i}.jpg", 10, "IVF", metric).collect()] != [r[0] for r in got]
+    assert missed
+    # Where cells are clear the bounds leave most out.
+    clear = np.repeat(np.eye(16), 50, axis=0) * 100 + np.random.default_rng(3).standard_normal((800, 16)) / 100
+    index = vectors.IvfIndex.build(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(clear)], "id long, vector array<double>"), "euclidean", cells=16)
+    far = np.linalg.norm(index.centres - clear[0], axis=1)
+    assert (index._bounds(clear[0]) >= -1.0).sum() == (far < 1.0).sum() < 16 and (index.radii < 1.0).all()
+    assert [r["id"] for r in index.search_exactly(clear[0].tolist(), 5).collect()] == _true(clear, clear[0], "euclidean", 5)
+
+
 def test_retrieve(spark):
     e = Engine(spark)
     e.register("c", spark.createDataFrame([(11, 1, 1, "stars and gas"), (21, 2, 1, "cells and genes")], "chunk_id long, paper_id long, position long, content string"), "chunk_id")
