@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,10 @@ SLICE_BYTES, PART_BYTES, LEAST_PARTS = 4_000_000, 24_000_000, 256
 BLOCK_LOAD, DOC_LOAD = 400_000, 200
 #: Shingles and samples that are worked on at once, so that a tile stays in a core's cache.
 _TILE, _SAMPLES = 4096, 8
+#: Place of the more significant half of a 64-bit number among two 32-bit ones.
+_HIGH = int(np.little_endian)
+#: Bits for each text in the filter of texts that a step needs, and the most of them: 32 MiB.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -115,7 +120,8 @@ def _gamma2() -> np.ndarray:
 
 
 _R = _gamma2().astype(np.float32)
-_LN_C = np.log(_gamma2()).astype(np.float32)
+#: Raised by 64, so that every ln a is above zero and its bits rise with it.
+_LN_C = (np.log(_gamma2()) + 64).astype(np.float32)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -125,24 +131,35 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int) -
     key = mix(h + np.uint64(0x632BE59BD9B4E019))
     log_weight = (np.round(np.log(weight) * 4096) / 4096).astype(np.float32)
     low, step = np.uint64(0xFFFF), np.float32(1 / 2**16)
+    pair = np.empty((_SAMPLES, _TILE, 2), dtype=np.uint32)
     for at in range(0, len(h), _TILE):
         of, item, ln_w = doc[at : at + _TILE], key[at : at + _TILE], log_weight[at : at + _TILE]
         starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        rows = of[starts]
         for s in range(0, BANDS * ROWS, _SAMPLES):
             x = item * _SEEDS[s : s + _SAMPLES, None]
             x ^= x >> np.uint64(32)
             x *= _M1
             x ^= x >> np.uint64(29)
-            r, b = _R[x & low], ((x >> np.uint64(16)) & low).astype(np.float32)
+            r = _R.take((x & low).view(np.int64), mode="clip")
+            ln_c = _LN_C.take((x >> np.uint64(48)).view(np.int64), mode="clip")
+            b = x.astype(np.uint32)  # the low half
+            name = (x >> np.uint64(24)).astype(np.uint32)
+            b >>= np.uint32(16)
+            b = b.astype(np.float32)
             b += np.float32(0.5)
             b *= step
-            t = np.floor(ln_w / r + b)
-            ln_a = _LN_C[x >> np.uint64(48)] - r * (t - b + np.float32(1))
-            order = ln_a.view(np.uint32)
-            order = np.where(order >> np.uint32(31), ~order, order | np.uint32(2**31))  # rises with ln_a
-            name = (x >> np.uint64(24)).astype(np.uint32) + t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
-            found = np.minimum.reduceat((order.astype(np.uint64) << np.uint64(32)) | name, starts, axis=1)
-            rows = of[starts]
+            t = ln_w / r
+            t += b
+            np.floor(t, out=t)
+            name += t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
+            t -= b
+            t += np.float32(1)
+            t *= r
+            ln_c -= t
+            here = pair[: len(x), : len(of)]
+            here[:, :, _HIGH], here[:, :, 1 - _HIGH] = ln_c.view(np.uint32), name
+            found = np.minimum.reduceat(pair.view(np.uint64)[: len(x), : len(of), 0], starts, axis=1)
             best[rows, s : s + _SAMPLES] = np.minimum(best[rows, s : s + _SAMPLES], found.T)
     has = np.zeros(texts, dtype=bool)
     has[doc] = True
@@ -275,6 +292,25 @@ def _verify(n_texts: int):
     return run
 
 
+def _among(df: DataFrame, ids: DataFrame, n_texts: int) -> DataFrame:
+    """The rows of ``df`` whose id is in ``ids``, and a few others: one pass before a join, so that other rows don't cross its shuffle."""
+    words = 1 << 15  # bits of one bitmap
+    bits = -(-min(FILTER_BITS * max(n_texts, 1), MOST_FILTER_BITS) // words) * words
+    place = F.pmod(F.xxhash64("id"), F.lit(bits).cast("long")) + 1
+    parts = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    held = np.zeros((bits // words, words // 8), dtype=np.uint8)
+    for r in parts:
+        held[r["at"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    held = held.reshape(-1)
+
+    @F.pandas_udf("boolean")
+    def may_hold(p: pd.Series) -> pd.Series:
+        at = p.to_numpy() - 1
+        return pd.Series((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return df.where(may_hold(place))
+
+
 def _links(sides: DataFrame, material: DataFrame, n_texts: int, name: str) -> DataFrame:
     """Verified links within groups of ``sides(grp, id, class, asks)``; groups beyond a block become tiles of blocks."""
     load = F.col("n_words") + DOC_LOAD
@@ -290,7 +326,8 @@ def _links(sides: DataFrame, material: DataFrame, n_texts: int, name: str) -> Da
     asking = placed.where("asks").select(*columns, block("na").alias("a"), upto("nb").alias("b"))
     tile = F.when(F.col("na") * F.col("nb") == 1, F.pmod(F.xxhash64("grp"), F.lit(together))).otherwise(F.xxhash64("grp", "a", "b"))
     tiles = asked.unionByName(asking).select("grp", "id", "class", "asks", tile.alias("tile"))
-    found = tiles.join(material.select("id", "text", "df"), "id").groupBy("tile").applyInArrow(_verify(n_texts), "a long, b long")
+    needed = _among(material.select("id", "text", "df"), loaded, n_texts)
+    found = tiles.join(needed, "id").groupBy("tile").applyInArrow(_verify(n_texts), "a long, b long")
     return scratch.store(found, f"near-dup-{name}-links")
 
 
@@ -300,8 +337,10 @@ def links(docs: DataFrame) -> DataFrame:
     members = signed.select("id", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1")
     near = scratch.store(members.join(buckets, "band"), "near-dup-near")
-    texts = docs.select(text_id(docs["text"]).alias("id"), docs["text"].alias("text")).join(near.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    material = scratch.store(texts.join(signed.select("id", "n_words", "df"), "id"), "near-dup-material")
+    needed = near.select("id").distinct()
+    texts = _among(docs.select(text_id(docs["text"]).alias("id"), docs["text"].alias("text")), near, n_texts).groupBy("id").agg(F.first("text").alias("text"))
+    of_near = _among(signed.select("id", "n_words", "df"), near, n_texts).join(needed, "id", "left_semi")
+    material = scratch.store(texts.join(of_near, "id"), "near-dup-material")
     hubs = near.select(F.col("hub").alias("grp"), "id").distinct()
     first = _links(hubs.select("grp", "id", F.col("id").alias("class"), (F.col("id") == F.col("grp")).alias("asks")), material, n_texts, "first")
     roots = components(first).select(F.col("node").alias("id"), "root")

@@ -603,3 +603,14 @@ def test_empty_tables(spark, docs, labels):
         topk.top_k(no_vectors, F.col("vec_id") % 20 == 0, 20), warc.round_trip(pages), token_counts.count_tokens(none, BYTE_BPE, 9), toxicity.score(none, labels), site_quality.score(none, labels, F.col("source"), F.col("lang")),
     ):
         assert df.count() == 0
+
+
+def test_near_dup_filters_before_joins(spark):
+    """Every row asked for stays, nearly all others go before the shuffle of a join."""
+    from tessera.llm import near_dup
+
+    rows = spark.range(20_000).selectExpr("id * 7919 - 50000 AS id")
+    wanted = rows.where("id % 10 = 0")
+    got = near_dup._among(rows, wanted.union(wanted), 20_000)
+    assert got.join(wanted, "id").count() == wanted.count() and got.count() < wanted.count() + 1000
+    assert near_dup._among(rows, wanted.where("false"), 0).count() == 0
